@@ -50,3 +50,23 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that no later step reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shipped(spark: SparkSession) -> None:
+    """Executors can import this package even where it isn't installed on their machines."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_netloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    folder = tempfile.mkdtemp(prefix="netloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/netloom_code.zip", "w") as z:
+        for d, _, names in os.walk(f"{root}/netloom"):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(f"{d}/{n}", os.path.relpath(f"{d}/{n}", root))
+    sc.addPyFile(f"{folder}/netloom_code.zip")
+    sc._netloom_shipped = True

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import bpe, exact_dedup, line_dedup, packing
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op6_bpe": bpe.op6_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
