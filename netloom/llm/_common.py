@@ -5,11 +5,12 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.plans.tables import dropped, work_dir, written  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Smallest long: stands for a null identifier inside the operators.
@@ -27,31 +28,6 @@ def row_key(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder for intermediate tables, in the folder that all executors share.
-
-    Where the session names none (tests, a single machine), a temporary folder is set for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="netloom-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/netloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Cut the lineage: write the table, then read it back with the schema it was written with."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that no later step reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shipped(spark: SparkSession) -> None:
     """Executors can import this package even where it isn't installed on their machines."""
     import os

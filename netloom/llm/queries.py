@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, packing
+from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op6_bpe": bpe.op6_bpe,
+    "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
