@@ -1,6 +1,79 @@
-STAGES = []
+"""The corpus pipeline: language ID, exact dedup, near dedup, secret scan, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All stages but the last
+return the columns of documents; each result is written as Parquet and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netloom.llm import exact_dedup, language_id, near_dedup, packing, secret_scan
+from netloom.plans.tables import work_dir, written
+
+
+def _tag() -> Column:
+    """Tells rows apart whose identifiers are equal or null."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _filtered(docs: DataFrame, decided: DataFrame, grouped) -> DataFrame:
+    """docs without the rows that `decided` (_tag, kept) drops, one copy of each repeated row.
+
+    Only rows of groups, which a filter of fixed size finds, are shuffled with their texts.
+    """
+    where = work_dir(docs.sparkSession)
+    decided = written(decided.where(grouped).select("_tag", "kept"), f"{where}/decided")
+    bitmap = written(exact_dedup.bitmap_filter(decided, "_tag"), f"{where}/filter")
+    flagged = exact_dedup.flag_maybe(docs.withColumn("_tag", _tag()), "_tag", bitmap, "_maybe")
+    rest = flagged.where("_maybe").join(decided.where(~F.col("kept")).select("_tag").distinct(), "_tag", "left_anti")
+    return flagged.where(~F.col("_maybe")).unionByName(rest.dropDuplicates(["_tag"])).select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID rejects go."""
+    return language_id.with_language(docs).where("_accepted").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest identifier stays."""
+    return _filtered(docs, exact_dedup.exact_dedup(docs, tag=_tag()), F.col("group_size") > 1)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (shingles of five words, similarity 0.8) stays."""
+    return _filtered(docs, near_dedup.near_dedup(docs, width=5, percent=80, tag=_tag()), ~F.col("kept"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    clean = secret_scan.with_secrets(docs).withColumn("text", F.col("_redacted"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, with the checksum of their ids."""
+    return packing.with_digest(packing.pack_documents(docs))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("secret_scan", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: A trained model decides in the first stage; SQL can't express it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    where = work_dir(spark)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"{where}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

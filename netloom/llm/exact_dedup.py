@@ -43,14 +43,19 @@ def bitmap_filter(keys: DataFrame, column: str) -> DataFrame:
     )
 
 
-def maybe_in(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
-    """The rows whose key the filter doesn't rule out; the filter has a fixed size and is broadcast."""
+def flag_maybe(rows: DataFrame, column: str, bitmap: DataFrame, flag: str) -> DataFrame:
+    """Adds whether the filter may hold the key; the filter has a fixed size and is broadcast."""
     at = _slot(F.col(column))
     bit = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.shiftright(byte, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
-    kept = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket")
-    return kept.where(is_set).drop("_bucket", "_bitmap")
+    is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket", "left")
+    return joined.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop("_bucket", "_bitmap")
+
+
+def maybe_in(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """The rows whose key the filter doesn't rule out."""
+    return flag_maybe(rows, column, bitmap, "_maybe").where("_maybe").drop("_maybe")
 
 
 def exact_dedup(
@@ -59,8 +64,9 @@ def exact_dedup(
     text_col: str = "text",
     memtables: int = 4,
     digest: Column | None = None,
+    tag: Column | None = None,
 ) -> DataFrame:
-    """One row for each input row: identifier, keep_id, group_size, kept, text_sha256.
+    """One row for each input row: identifier, keep_id, group_size, kept, text_sha256; and _tag if given.
 
     `digest` replaces SHA-256 of the normalised text `_norm` as the index key; a weak one is still right,
     as equal digests are verified on the texts.
@@ -68,11 +74,11 @@ def exact_dedup(
     spark = docs.sparkSession
     where = _common.work_dir(spark)
     norm = normalised(F.col(text_col))
-    texts = docs.select(_common.row_key(id_col).alias("_id"), F.col(id_col).isNull().alias("_no_id"), norm.alias("_norm"))
+    texts = docs.select(_common.row_key(id_col).alias("_id"), F.col(id_col).isNull().alias("_no_id"), norm.alias("_norm"), (tag if tag is not None else F.lit(None)).cast("long").alias("_tag"))
     key = digest if digest is not None else F.unhex("_sha")
     rows = _common.written(
         texts.withColumn("_sha", F.sha2("_norm", 256))
-        .select("_id", "_no_id", F.unhex("_sha").alias("_sha"), key.cast("binary").alias("_digest"))
+        .select("_id", "_no_id", "_tag", F.unhex("_sha").alias("_sha"), key.cast("binary").alias("_digest"))
         .withColumn("_memtable", F.pmod(F.xxhash64("_id"), F.lit(memtables)).cast("int")),
         f"{where}/digests",
     )
@@ -118,6 +124,7 @@ def exact_dedup(
         F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("_id") == keep).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
+        *([F.col("_tag")] if tag is not None else []),
     )
 
 

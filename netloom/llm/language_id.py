@@ -160,17 +160,24 @@ def identify(
     held_fold: int = 2,
 ) -> DataFrame:
     """identifier, held_out, lang_pred, score, accepted; the model learns from the other folds only."""
+    own = docs.select(id_col, text_col, label_col)
+    out = with_language(own, id_col, text_col, label_col, folds, held_fold)
+    named = [F.col(f"_{n}").alias(n) for n in ("lang_pred", "score", "accepted")]
+    return out.select(id_col, F.coalesce(fold(id_col, folds) == held_fold, F.lit(False)).alias("held_out"), *named)
+
+
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 4, held_fold: int = 2) -> DataFrame:
+    """The rows of docs with _lang_pred, _score and _accepted."""
     spark = docs.sparkSession
     _common.shipped(spark)
     held = F.coalesce(fold(id_col, folds) == held_fold, F.lit(False))
     model = train(*sample(docs.where(~held), id_col, text_col, label_col))
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
-    kind = docs.schema[id_col].dataType
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             for i, j in slices(texts):
                 part = texts[i:j]
                 have = [k for k, x in enumerate(part) if x and has_letter(x)]
@@ -180,13 +187,11 @@ def identify(
                     scores[have], taken[have] = p, p >= m.reject_below
                     for k, x in zip(have, best):
                         names[k] = x
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(names), pa.array(scores), pa.array(taken)], ["id", "lang_pred", "score", "accepted"]
-                )
+                rows = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names), pa.array(scores), pa.array(taken)], [*rows.schema.names, "_lang_pred", "_score", "_accepted"])
 
-    schema = StructType([StructField("id", kind), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())])
-    out = docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
-    return out.withColumn("held_out", F.coalesce(fold(id_col, folds) == held_fold, F.lit(False)))
+    added = [StructField("_lang_pred", StringType()), StructField("_score", DoubleType()), StructField("_accepted", BooleanType())]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
@@ -202,11 +202,11 @@ def _runs(batches):
         yield pa.Table.from_batches(held)
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, tag: Column | None) -> DataFrame:
     def run(batches):
         words = Words()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for i, j in slices(texts, 1_000_000):
                 sets = [shingles(x, width, words) for x in texts[i:j]]
                 full = [s for s in sets if len(s)]
@@ -215,15 +215,16 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
                     [
                         batch.column(0).slice(i, j - i),
                         batch.column(1).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(mins).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["_id", "_no_id", "_size", "_set", "_mins"],
+                    ["_id", "_no_id", "_tag", "_size", "_set", "_mins"],
                 )
 
-    schema = StructType([StructField("_id", LongType()), StructField("_no_id", BooleanType()), StructField("_size", IntegerType()), StructField("_set", BinaryType()), StructField("_mins", BinaryType())])
-    return docs.select(_common.row_key(id_col).alias("_id"), F.col(id_col).isNull().alias("_no_id"), text_col).mapInArrow(run, schema)
+    schema = StructType([StructField("_id", LongType()), StructField("_no_id", BooleanType()), StructField("_tag", LongType()), StructField("_size", IntegerType()), StructField("_set", BinaryType()), StructField("_mins", BinaryType())])
+    return docs.select(_common.row_key(id_col).alias("_id"), F.col(id_col).isNull().alias("_no_id"), (tag if tag is not None else F.lit(None)).cast("long").alias("_tag"), text_col).mapInArrow(run, schema)
 
 
 def _branched(vertices: DataFrame, percent: int) -> DataFrame:
@@ -346,12 +347,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "_x", "_y").mapInArrow(run, schema)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row: identifier, n_shingles, component_id (least identifier reachable), kept."""
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, tag: Column | None = None) -> DataFrame:
+    """One row for each row: identifier, n_shingles, component_id (least identifier reachable), kept; and _tag if given."""
     spark = docs.sparkSession
     _common.shipped(spark)
     where = _common.work_dir(spark)
-    rows = _common.written(_sketches(docs, id_col, text_col, width), f"{where}/sketches")
+    rows = _common.written(_sketches(docs, id_col, text_col, width, tag), f"{where}/sketches")
     sets = rows.where(F.col("_set").isNotNull())
     # The minima are equal for equal sets: any of them will do, the least identifier names the vertex.
     vertices = _common.written(sets.groupBy("_set").agg(F.min("_id").alias("_id"), F.first("_size").alias("_size")), f"{where}/vertices")
@@ -378,11 +379,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = labels.join(least, "component").select(F.col("vertex").alias("_set"), "_least")
     own = vertices.join(roots, "_set", "left").select("_set", F.coalesce("_least", "_id").alias("_least"))
     at = F.coalesce("_least", "_id")
-    return rows.select("_id", "_no_id", "_size", "_set").join(own, "_set", "left").select(
+    return rows.select("_id", "_no_id", "_tag", "_size", "_set").join(own, "_set", "left").select(
         F.when(~F.col("_no_id"), F.col("_id")).alias(id_col),
         F.col("_size").cast("long").alias("n_shingles"),
         F.when(at != _common.NULL_ID, at).alias("component_id"),
         (F.col("_id") == at).alias("kept"),
+        *([F.col("_tag")] if tag is not None else []),
     )
 
 
