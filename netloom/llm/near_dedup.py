@@ -7,8 +7,9 @@ tasks). Nodes of at most SMALL vertices are compared exhaustively on two-bit ske
 larger ones branch on, and at the last level the vertices of a node are compared with pivots. A node with
 few similar pairs reports all of them; a dense one reports a spanning forest and its members. All reported
 pairs are confirmed on full sets. Once the components of the confirmed links are known, dense nodes report
-every similar pair that these components don't join, and those pairs are confirmed as well: what isn't
-looked at are pairs inside one component, whose links change no result.
+the similar pairs that these components don't join: in a first round the best few of each vertex, in a
+second one all that are left. Those pairs are confirmed as well: what isn't looked at are pairs inside one
+component, whose links change no result.
 
 Recall: a pair of similarity s is in a common node of depth d with probability s^d for each tree, so a pair
 at 0.8 is missed in 16 trees with (1 - 0.64)^16 = 8e-8 at depth 2, 2e-4 at depth 4. The sketch comparison
@@ -37,6 +38,8 @@ from .exact_dedup import bitmap_filter, maybe_in
 
 TREES, LEVELS, SMALL = 16, 8, 256
 FUNCTIONS = TREES * LEVELS
+#: Partners that a vertex first proposes in a dense node; all others follow where these leave it unjoined.
+BEST = 4
 #: Two-bit agreements of FUNCTIONS that a pair needs; at similarity 0.8 108.8 are expected, deviation 4.
 AGREE = 90
 
@@ -103,12 +106,17 @@ def two_bits(mins: np.ndarray) -> np.ndarray:
 
 def similar(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Which rows of a and b agree on enough sketch bits and have sizes that allow the similarity."""
+    return agreement(a, na, b, nb, percent) > 0
+
+
+def agreement(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Agreeing sketch values of the rows of a and b; 0 where too few or the sizes forbid the similarity."""
     agree = np.full((len(a), len(b)), FUNCTIONS, dtype=np.int16)
     for w in range(a.shape[1]):
         x = a[:, w, None] ^ b[None, :, w]
         agree -= np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).astype(np.int16)
     low, high = np.minimum(na[:, None], nb[None, :]), np.maximum(na[:, None], nb[None, :])
-    return (agree >= AGREE) & (100 * low >= percent * high)
+    return np.where((agree >= AGREE) & (100 * low >= percent * high), agree, 0)
 
 
 def _node_key(tree: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -264,8 +272,11 @@ def _branched(vertices: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(up, _FOUND)
 
 
-def _unjoined(members: DataFrame, percent: int) -> DataFrame:
-    """Similar pairs of different components inside dense nodes; members: (node, a, n, bits, component)."""
+def _unjoined(members: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Similar pairs of different components inside dense nodes; members: (node, a, n, bits, component).
+
+    With `best`, each vertex outside the node's largest component gives its pairs of the best agreement only.
+    """
 
     def run(batches):
         for table in _runs(batches):
@@ -285,7 +296,9 @@ def _unjoined(members: DataFrame, percent: int) -> DataFrame:
                 pairs: set[tuple[bytes, bytes]] = set()
                 for i in range(0, len(others), 64):
                     rows = others[i : i + 64]
-                    hit = similar(bits[rows], n[rows], bits[x:y], n[x:y], percent) & (code[rows][:, None] != code[None, x:y])
+                    hit = agreement(bits[rows], n[rows], bits[x:y], n[x:y], percent) * (code[rows][:, None] != code[None, x:y])
+                    if best and hit.shape[1] > best:
+                        hit = hit * (hit >= np.partition(hit, -best, axis=1)[:, -best, None])
                     for r, c in zip(*map(np.ndarray.tolist, np.nonzero(hit))):
                         u, v = ids[rows[r]], ids[x + c]
                         pairs.add((u, v) if u < v else (v, u))
@@ -354,9 +367,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where = _common.work_dir(spark)
     rows = _common.written(_sketches(docs, id_col, text_col, width, tag), f"{where}/sketches")
     sets = rows.where(F.col("_set").isNotNull())
-    # The minima are equal for equal sets: any of them will do, the least identifier names the vertex.
-    vertices = _common.written(sets.groupBy("_set").agg(F.min("_id").alias("_id"), F.first("_size").alias("_size")), f"{where}/vertices")
-    ones = sets.join(vertices.select("_set", "_id"), ["_set", "_id"], "left_semi").dropDuplicates(["_set"]).select("_set", "_size", "_mins")
+    # The least identifier names the vertex; the partial minimum collapses large groups before the shuffle.
+    least = sets.groupBy("_set").agg(F.min(F.struct("_id", "_size", "_mins")).alias("_v"))
+    ones = _common.written(least.select("_set", "_v.*"), f"{where}/vertices")
+    vertices = ones.select("_set", "_id")
 
     found = _common.written(_branched(ones, percent), f"{where}/found")
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -365,19 +379,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = _common.written(_confirmed(tested, full, percent), f"{where}/links")
     labels = components(links)
 
-    members = found.where(F.col("node").isNotNull()).join(labels, F.col("a") == F.col("vertex"), "left")
-    members = members.withColumn("component", F.coalesce("component", "a"))
-    more = _common.written(pair(_unjoined(members, percent)).join(tested, ["a", "b"], "left_anti"), f"{where}/more")
-    if not more.isEmpty():
-        full = _full_sets(docs, id_col, text_col, width, vertices, more, f"{where}/wanted-more")
-        extra = _common.written(_confirmed(more, full, percent), f"{where}/links-more")
+    members = found.where(F.col("node").isNotNull())
+    # First the most promising pairs, which join most components; then every pair that is left.
+    for k, best in enumerate((BEST, None)):
+        inside = members.join(labels, F.col("a") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "a"))
+        more = _common.written(pair(_unjoined(inside, percent, best)).join(tested, ["a", "b"], "left_anti"), f"{where}/more-{k}")
+        if more.isEmpty():
+            continue
+        tested = tested.unionByName(more)
+        full = _full_sets(docs, id_col, text_col, width, vertices, more, f"{where}/wanted-{k}")
+        extra = _common.written(_confirmed(more, full, percent), f"{where}/links-{k}")
         if not extra.isEmpty():
-            labels = components(links.unionByName(extra))
+            links = links.unionByName(extra)
+            labels = components(links)
 
     labels = labels.join(vertices.select(F.col("_set").alias("vertex"), "_id"), "vertex")
     least = labels.groupBy("component").agg(F.min("_id").alias("_least"))
     roots = labels.join(least, "component").select(F.col("vertex").alias("_set"), "_least")
-    own = vertices.join(roots, "_set", "left").select("_set", F.coalesce("_least", "_id").alias("_least"))
+    # Written, so that both sides of the last join are shuffled for it and a set of many rows can be split.
+    own = _common.written(vertices.join(roots, "_set", "left").select("_set", F.coalesce("_least", "_id").alias("_least")), f"{where}/own")
     at = F.coalesce("_least", "_id")
     return rows.select("_id", "_no_id", "_tag", "_size", "_set").join(own, "_set", "left").select(
         F.when(~F.col("_no_id"), F.col("_id")).alias(id_col),
