@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 
 from . import _common
 
-#: Words remembered by a Python worker, and characters of the longest such word.
-REMEMBERED, LONGEST = 400_000, 64
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Words of a generation; a Python worker remembers two of them. Characters of the longest such word.
+REMEMBERED, LONGEST = 350_000, 64
+#: A full stop or comma at a word's end: between a letter or digit and punctuation a new part always begins.
+END_MARK = re.compile(r"([.,])(?=[ \n])(?<=[^\W_][.,])")
+#: White space and the word after it, up to a mark.
+PIECE = re.compile(r"[ \n]*[^ \n\0]+|[ \n]+")
 #: White space but blank and line feed, by any Unicode version, and the start of special tokens.
-UNUSUAL = re.compile("[^\\S \n]|[᠎​﻿]|<\\|")
+UNUSUAL = re.compile("[^\\S \n]|[\0᠎​﻿]|<\\|")
 
 _loaded: dict[tuple[str, str], object] = {}
 
@@ -49,23 +52,30 @@ class WordCache:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {"": b""}
+        self.earlier: dict[str, bytes] = {}
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def encode_words(self, lists: list[list[str]]) -> list[bytes]:
         """The ids of each list of words, as unsigned 32-bit integers."""
-        known, new = self.known, set()
+        known, earlier, new = self.known, self.earlier, set()
         for words in lists:
             new.update(words)
-        new = [w for w in new if w not in known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        new = new.difference(known)  # looks up the few new words, not all known ones
+        miss = []
+        for w in new:
+            if (ids := earlier.get(w)) is None:
+                miss.append(w)
+            else:
+                known[w] = ids
+        for i in range(0, len(miss), 20_000):
+            part = miss[i : i + 20_000]
             known.update(zip(part, self.encode_whole(part)))
         out = [b"".join(map(known.__getitem__, words)) for words in lists]
-        if len(known) > REMEMBERED:
-            last = {w for words in lists for w in words if len(w) <= LONGEST}
-            self.known = {w: known[w] for w in last} | {"": b""}
+        if len(known) > REMEMBERED:  # words of the last generation are kept until this one is full
+            self.earlier = {w: x for w, x in known.items() if len(w) <= LONGEST}
+            self.known = {"": b""}
         return out
 
 
@@ -101,7 +111,7 @@ class TreeBpe(WordCache):
     def encode_leaves(self, leaves: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(leaves)
         usual = [i for i, x in enumerate(leaves) if not UNUSUAL.search(x)]
-        for i, ids in zip(usual, self.encode_words([PIECE.findall(leaves[i]) for i in usual])):
+        for i, ids in zip(usual, self.encode_words([PIECE.findall(END_MARK.sub("\0\\1", leaves[i])) for i in usual])):
             out[i] = ids
         odd = sorted(set(range(len(leaves))) - set(usual))
         for i, ids in zip(odd, self.encode_whole([leaves[i] for i in odd])):

@@ -29,10 +29,12 @@ END_ID = 2
 
 
 class WordTokens(bpe.WordCache):
-    """A vocabulary that drops white space: blanks and line feeds separate words that don't affect each other."""
+    """A lower-case vocabulary that drops white space: blanks and line feeds separate words that don't affect
+    each other, and a full stop or comma after a letter or digit begins a part of its own."""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.encode_words([x.replace("\n", " ").split(" ") for x in texts])
+        texts = [x.lower() if x.isascii() else x for x in texts]
+        return self.encode_words([bpe.END_MARK.sub(r" \1", x.replace("\n", " ")).split(" ") for x in texts])
 
 
 def cost(n):
