@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from netloom.plans import path_queries
+from netloom.plans import path_queries, spatial_queries
 
-_PARTS = (path_queries,)
+_PARTS = (path_queries, spatial_queries)
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}

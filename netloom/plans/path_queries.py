@@ -138,8 +138,9 @@ PAIR_SQL = """
 pr AS MATERIALIZED (SELECT a.path_id AS a, b.path_id AS b, a.equipment, a.arrow AS aa, b.arrow AS ba, a.n AS an, b.n AS bn, a.length AS al, b.length AS bl,
   a.rx AS arx, b.rx AS brx, a.ry AS ary, b.ry AS bry, a.rz AS arz, b.rz AS brz, sqrt((a.sx-b.sx)*(a.sx-b.sx)+(a.sy-b.sy)*(a.sy-b.sy)) AS far
   FROM feat a JOIN feat b ON a.equipment = b.equipment AND a.path_id < b.path_id),
-vs AS (SELECT pr.a, pr.b, avg(greatest(0, least(1, (s.dx*t.dx+s.dy*t.dy+s.dz*t.dz)/(s.len*t.len)))) AS v, avg((s.dx*t.dx+s.dy*t.dy+s.dz*t.dz)/(s.len*t.len)) AS v1
-  FROM pr JOIN coded s ON s.path_id = pr.a JOIN coded t ON t.path_id = pr.b AND t.seq = s.seq GROUP BY pr.a, pr.b),
+ps AS MATERIALIZED (SELECT pr.a, pr.b, s.seq, s.dx, s.dy, s.dz, s.len FROM pr JOIN coded s ON s.path_id = pr.a),
+vs AS MATERIALIZED (SELECT s.a, s.b, avg(greatest(0, least(1, (s.dx*t.dx+s.dy*t.dy+s.dz*t.dz)/(s.len*t.len)))) AS v, avg((s.dx*t.dx+s.dy*t.dy+s.dz*t.dz)/(s.len*t.len)) AS v1
+  FROM ps s JOIN coded t ON t.path_id = s.b AND t.seq = s.seq GROUP BY s.a, s.b),
 sm AS (SELECT pr.*, vs.v, vs.v1, 1 - levenshtein(aa, ba) / greatest(length(aa), length(ba))::DOUBLE AS arrow_sim,
   (greatest(0, 1-abs(arx-brx)/greatest(arx,brx,1)) + greatest(0, 1-abs(ary-bry)/greatest(ary,bry,1)) + greatest(0, 1-abs(arz-brz)/greatest(arz,brz,1)))/3 AS range_sim,
   greatest(0, 1-abs(al-bl)/greatest(al,bl,1)) AS length_sim FROM pr JOIN vs ON pr.a = vs.a AND pr.b = vs.b),
