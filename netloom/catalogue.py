@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from netloom.plans import graph_queries, path_queries, spatial_queries, vector_queries
+from netloom.plans import design_queries, graph_queries, path_queries, spatial_queries, vector_queries
 
-_PARTS = (path_queries, spatial_queries, graph_queries, vector_queries)
+_PARTS = (path_queries, spatial_queries, graph_queries, vector_queries, design_queries)
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
