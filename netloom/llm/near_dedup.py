@@ -7,7 +7,7 @@ tasks). Nodes of at most SMALL vertices are compared exhaustively on two-bit ske
 larger ones branch on, and at the last level the vertices of a node are compared with pivots. A node with
 few similar pairs reports all of them; a dense one reports a spanning forest and its members. All reported
 pairs are confirmed on full sets. Once the components of the confirmed links are known, dense nodes report
-the similar pairs that these components don't join: in a first round the best few of each vertex, in a
+the similar pairs that these components don't join: in a first round the best one of each vertex, in a
 second one all that are left. Those pairs are confirmed as well: what isn't looked at are pairs inside one
 component, whose links change no result.
 
@@ -38,8 +38,6 @@ from .exact_dedup import bitmap_filter, maybe_in
 
 TREES, LEVELS, SMALL = 16, 8, 256
 FUNCTIONS = TREES * LEVELS
-#: Partners that a vertex first proposes in a dense node; all others follow where these leave it unjoined.
-BEST = 4
 #: Two-bit agreements of FUNCTIONS that a pair needs; at similarity 0.8 108.8 are expected, deviation 4.
 AGREE = 90
 
@@ -272,10 +270,10 @@ def _branched(vertices: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(up, _FOUND)
 
 
-def _unjoined(members: DataFrame, percent: int, best: int | None) -> DataFrame:
+def _unjoined(members: DataFrame, percent: int, best: bool) -> DataFrame:
     """Similar pairs of different components inside dense nodes; members: (node, a, n, bits, component).
 
-    With `best`, each vertex outside the node's largest component gives its pairs of the best agreement only.
+    With `best`, each vertex outside the node's largest component gives its pair of the best agreement only.
     """
 
     def run(batches):
@@ -297,8 +295,11 @@ def _unjoined(members: DataFrame, percent: int, best: int | None) -> DataFrame:
                 for i in range(0, len(others), 64):
                     rows = others[i : i + 64]
                     hit = agreement(bits[rows], n[rows], bits[x:y], n[x:y], percent) * (code[rows][:, None] != code[None, x:y])
-                    if best and hit.shape[1] > best:
-                        hit = hit * (hit >= np.partition(hit, -best, axis=1)[:, -best, None])
+                    if best:  # one partner: agreement ties are frequent, the first of them will do
+                        top = hit.argmax(axis=1)
+                        only = np.zeros_like(hit)
+                        only[np.arange(len(hit)), top] = hit[np.arange(len(hit)), top]
+                        hit = only
                     for r, c in zip(*map(np.ndarray.tolist, np.nonzero(hit))):
                         u, v = ids[rows[r]], ids[x + c]
                         pairs.add((u, v) if u < v else (v, u))
@@ -334,7 +335,8 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, vertices
 
     schema = StructType([StructField("_vertex", BinaryType()), StructField("_full", BinaryType())])
     rows = maybe_in(docs.select(_common.row_key(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", bitmap)
-    return rows.select("_id", "_text").mapInArrow(run, schema).dropDuplicates(["_vertex"])
+    # Written, so that both sides of the joins by vertex are shuffled for them and hot vertices can be split.
+    return _common.written(rows.select("_id", "_text").mapInArrow(run, schema).dropDuplicates(["_vertex"]), f"{path}-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -381,7 +383,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     members = found.where(F.col("node").isNotNull())
     # First the most promising pairs, which join most components; then every pair that is left.
-    for k, best in enumerate((BEST, None)):
+    for k, best in enumerate((True, False)):
         inside = members.join(labels, F.col("a") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "a"))
         more = _common.written(pair(_unjoined(inside, percent, best)).join(tested, ["a", "b"], "left_anti"), f"{where}/more-{k}")
         if more.isEmpty():
