@@ -1,0 +1,127 @@
+"""Small fixtures for the operators: nulls, empty texts, ties, repeated rows, empty tables, extra columns."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from netloom.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, lm_score, near_dedup, neighbours, packing, secret_scan
+
+SCHEMA = "doc_id long, text string, lang string, kept string"
+LONG = "a line that is long enough to count"
+ROWS = [
+    (1, None, None, "x"), (2, "", "en", "x"), (3, "Hello World", "en", "x"), (4, "hello world", None, "x"), (4, "hello world", None, "x"), (None, "HELLO WORLD", "de", "x"),
+    (5, f"{LONG}\nb", "en", "x"), (6, f"  {LONG.upper()} \nc", "en", "x"), (7, f"{LONG}\n{LONG}", "en", "x"), (8, "word " * 3000, "en", "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+def test_exact_dedup(docs):
+    got = {(r["doc_id"], r["text_sha256"]): r for r in exact_dedup.exact_dedup(docs).collect()}
+    r = got[3, hashlib.sha256(b"hello world").hexdigest()]
+    assert (r["keep_id"], r["group_size"], r["kept"]) == (4, 4, False)
+    assert len([1 for r in exact_dedup.exact_dedup(docs).collect() if r["group_size"] == 4]) == 4
+    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_verifies_bytes(docs):
+    weak = F.encode(F.length("_norm").cast("string"), "utf-8")
+    a, b = (sorted(map(str, exact_dedup.exact_dedup(docs, digest=d).collect())) for d in (None, weak))
+    assert a == b
+
+
+def test_line_dedup(docs):
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
+    assert [got[k]["n_dropped"] for k in (5, 6, 7)] == [1, 1, 0]
+    assert (got[5]["text"], got[6]["text"]) == ("b", "c")
+    assert (got[1]["n_lines"], got[1]["text"]) == (1, "")
+    assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_near_dedup(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(10, " ".join(words)), (11, " ".join([*words[:97], "x", "y", "z"])), (12, " ".join(words[50:])), (13, None), (14, "  "), (9, " ".join(words)), (None, "one")]
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got[10] == (9, 99, False) and got[11] == (9, 99, False) and got[9] == (9, 99, True)
+    assert got[12] == (12, 49, True) and got[13] == (13, 0, True) and got[14] == (14, 0, True) and got[None] == (None, 1, True)
+
+
+def test_tree_bpe_equals_the_library():
+    tree, rnd = bpe.TreeBpe("byte_bpe_50k.json"), random.Random(3)
+    parts = ["a", "'s", "'ll", "'", " ", "  ", "\n", "\t", "12", "!", "é", "漢", "😀", "<|endoftext|>", "\x1c", " ", "the", ". ", ",\n", "="]
+    for _ in range(1500):
+        x = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 80)))
+        tree.leaf_chars = rnd.randint(1, 30)
+        ids = tree.encode([x])
+        assert ids == tree.encode_whole([x]) and tree.decode(ids[0]) == x
+
+
+def test_word_tokens_equal_the_library():
+    words, rnd = packing.WordTokens("word_bpe_49k.json"), random.Random(4)
+    parts = ["A", "é", "'s", "'", " ", "\n", "\t", "²", "_. ", "1", ". ", ", ", ".", "!", "<|endoftext|>"]
+    for _ in range(1000):
+        x = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60)))
+        assert words.encode([x]) == words.encode_whole([x])
+
+
+def test_packing_holds_every_id_once(docs):
+    got = packing.pack_documents(docs).toPandas()
+    assert got.length.sum() == got.drop_duplicates(["doc_id", "doc_tokens", "start", "sequence_id", "offset"]).length.sum()
+    sizes = got.groupby("sequence_id").length.sum()
+    assert all(n == 4096 or n & (n - 1) == 0 for n in sizes)
+    assert got[got.doc_id == 1].length.tolist() == [1]
+
+
+def test_language_id():
+    en, de = ["the cat sat on the mat and then it ran"] * 30, ["der hund und die katze sind nicht im haus"] * 30
+    model = language_id.train(en + de, ["en"] * 30 + ["de"] * 30)
+    assert model.predict(["the cat and the mat", "die katze und der hund"])[0] == ["en", "de"]
+
+
+def test_language_id_of_odd_rows(docs):
+    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    assert got[1]["lang_pred"] == "und" and got[2]["lang_pred"] == "und" and not got[1]["accepted"]
+
+
+def test_lm_base_scores(docs):
+    got = {r["doc_id"]: r for r in lm_score.score_texts(docs, filter_bytes=1 << 17).collect()}
+    train = [x for i, x, *_ in ROWS if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    assert got[3]["train_tokens"] == sum(len(lm_score.tokens(x)) for x in train)
+    assert got[1]["n_tokens"] == 1 and got[3]["n_tokens"] == 3
+
+
+def test_secrets_link_weak_parts():
+    text = 'password = "hunter22" at https://host/x for user_id=someone'
+    kinds = [secret_scan.KINDS[k] for _, _, k in secret_scan.spans(text)]
+    assert kinds == ["assign", "endpoint", "account"]
+    assert secret_scan.spans("see https://host/x and user_id=someone") == []
+    assert secret_scan.spans("password=abc") == [] and secret_scan.spans(None) == []
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "user", chat_format.FAKE), (1, 1, "assistant", chat_format.FAKE), (2, 0, "assistant", None), (None, None, None, "<\\|x")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_chat(c)).collect()}
+    want = hashlib.sha256(f"user\n{chat_format.FAKE}\nassistant\n{chat_format.FAKE}\n".encode()).hexdigest()
+    assert got[1]["turns_sha256"] == want and got[1]["valid"] and not got[2]["valid"]
+    assert got[None]["turns_sha256"] == hashlib.sha256(b"\n<\\|x\n").hexdigest()
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), queries=F.col("_id") % 20 == 0).toPandas()
+    hit = 0
+    for q in range(0, 400, 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert hit / 200 >= 0.9 and got.vec_id.max() < 400
