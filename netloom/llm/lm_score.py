@@ -8,9 +8,9 @@ count of the last level present. Probabilities mix pair and word frequencies:
     P(w | v) = MIX * c(v w) / c(v) + (1 - MIX) * (c(w) + 1) / (N + V + 1)      (c from the filter; the
     first term at most MIX, and 0 for unseen v)
 
-The filter is FILTER_BYTES long at any corpus size, so it may be broadcast. Its n-grams are chosen by one
-rule: the least count from which on all n-grams fit at LOAD (pairs from 2 on). It consists of blocks, built
-by tasks that hold one block each; an n-gram has all its bits in one block.
+The filter grows with the n-grams to FILTER_BYTES at most, so it may be broadcast at any corpus size. Its
+n-grams are chosen by one rule: the least count from which on all n-grams fit at LOAD (pairs from 2 on). It
+consists of blocks, built by tasks that hold one block each; an n-gram has all its bits in one block.
 
 The exact columns (n_tokens, n_known, base_score) use exact word counts, broadcast as sorted hashes in
 slices of SLICE words; every further slice is another pass over the texts. Should two words share a 64-bit
@@ -174,7 +174,8 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
     least = 1
     while sum(v for k, v in sizes.items() if k >= least) > room:
         least += 1
-    blocks = max(1, filter_bytes // BLOCK_BYTES)
+    bits = sum(v for k, v in sizes.items() if k >= least) * HASHES / LOAD
+    blocks = min(max(1, filter_bytes // BLOCK_BYTES), max(1, math.ceil(bits / 8 / BLOCK_BYTES)))
     kept = counted.where(lev >= least).select("h", F.col("word").isNotNull().alias("is_word"), lev.alias("level"))
 
     def keyed(batches):
@@ -203,10 +204,10 @@ def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BY
     dealt = StructType([StructField("block", LongType()), StructField("key", LongType()), StructField("level", IntegerType())])
     built = StructType([StructField("block", LongType()), StructField("bits", BinaryType())])
     parts = kept.mapInArrow(keyed, dealt).repartition("block").sortWithinPartitions("block").mapInArrow(build, built)
-    bits = np.zeros(blocks * BLOCK_BYTES, dtype=np.uint8)
+    found = np.zeros(blocks * BLOCK_BYTES, dtype=np.uint8)
     for r in parts.toLocalIterator():
-        bits[r["block"] * BLOCK_BYTES : (r["block"] + 1) * BLOCK_BYTES] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return words.select("h", "n"), total, distinct, bits, seed
+        found[r["block"] * BLOCK_BYTES : (r["block"] + 1) * BLOCK_BYTES] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return words.select("h", "n"), total, distinct, found, seed
 
 
 def _block(block: int, bits: np.ndarray) -> pa.RecordBatch:
