@@ -8,12 +8,14 @@ larger ones branch on, and at the last level the vertices of a node are compared
 few similar pairs reports all of them; a dense one reports a spanning forest and its members. All reported
 pairs are confirmed on full sets. Once the components of the confirmed links are known, dense nodes report
 the similar pairs that these components don't join: in a first round the best one of each vertex, in a
-second one all that are left. Those pairs are confirmed as well: what isn't looked at are pairs inside one
-component, whose links change no result.
+second one all that are left. Those of the second round pass a test on the PREFIX least shingle hashes of both
+sets before they leave their node, else a node of texts slightly below the similarity would list all its pairs.
+All are confirmed as well: what isn't looked at are pairs inside one component, whose links change no result.
 
 Recall: a pair of similarity s is in a common node of depth d with probability s^d for each tree, so a pair
 at 0.8 is missed in 16 trees with (1 - 0.64)^16 = 8e-8 at depth 2, 2e-4 at depth 4. The sketch comparison
-loses a pair at 0.8 with a probability of about 1e-6.
+loses a pair at 0.8 with a probability of about 1e-6; the prefix test loses none of sets that fit the prefix, and
+one of longer sets where the estimate is six deviations too low.
 
 Defined results: null and blank texts have an empty set, are linked with nothing and stay; a null identifier
 is smaller than any other and is returned as null; rows repeating an identifier are rows of their own; an
@@ -40,6 +42,8 @@ TREES, LEVELS, SMALL = 16, 8, 256
 FUNCTIONS = TREES * LEVELS
 #: Two-bit agreements of FUNCTIONS that a pair needs; at similarity 0.8 108.8 are expected, deviation 4.
 AGREE = 90
+#: Shingle hashes of each vertex that the second round has in a node: 8 KB at most.
+PREFIX = 1024
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 2**32, FUNCTIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -270,10 +274,42 @@ def _branched(vertices: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(up, _FOUND)
 
 
+class Prefixes:
+    """The least shingle hashes of a node's vertices, each sorted; estimates of similarities from them."""
+
+    def __init__(self, prefixes: list[bytes], percent: int):
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in prefixes]
+        size = np.array([len(x) for x in sets])
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.none, self.p = len(values), percent / 100
+        self.rows = np.full((len(sets), size.max()), self.none, dtype=np.int32)
+        self.rows[np.arange(size.max()) < size[:, None]] = code
+        #: Up to this value the prefix has all of the set.
+        self.upto = np.where(size < PREFIX, self.none - 1, self.rows[np.arange(len(sets)), size - 1])
+        self.mark = np.zeros(self.none + 1, dtype=bool)
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may have the similarity with one."""
+        own = self.rows[one]
+        self.mark[own] = True
+        self.mark[self.none] = False
+        kept = []
+        for i in range(0, len(others), 1024):
+            at = others[i : i + 1024]
+            rows, limit = self.rows[at], np.minimum(self.upto[one], self.upto[at])[:, None]
+            both = (self.mark[rows] & (rows <= limit)).sum(axis=1)
+            union = (own <= limit).sum(axis=1) + (rows <= limit).sum(axis=1) - both
+            margin = np.where(limit[:, 0] == self.none - 1, 1e-9, 6 * np.sqrt(self.p * (1 - self.p) / union))
+            kept.append(at[both >= (self.p - margin) * union])
+        self.mark[own] = False
+        return np.concatenate(kept)
+
+
 def _unjoined(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Similar pairs of different components inside dense nodes; members: (node, a, n, bits, component).
+    """Similar pairs of different components inside dense nodes; members: (node, a, n, bits, component, prefix).
 
-    With `best`, each vertex outside the node's largest component gives its pair of the best agreement only.
+    With `best`, each vertex outside the node's largest component gives its pair of the best agreement only;
+    without, every pair that the prefixes don't rule out.
     """
 
     def run(batches):
@@ -292,6 +328,7 @@ def _unjoined(members: DataFrame, percent: int, best: bool) -> DataFrame:
                 most = values[sizes.argmax()]
                 others = x + np.flatnonzero(code[x:y] != most)  # each against the whole node
                 pairs: set[tuple[bytes, bytes]] = set()
+                prefixes = None if best else Prefixes(table.column(5).slice(x, y - x).to_pylist(), percent)
                 for i in range(0, len(others), 64):
                     rows = others[i : i + 64]
                     hit = agreement(bits[rows], n[rows], bits[x:y], n[x:y], percent) * (code[rows][:, None] != code[None, x:y])
@@ -300,16 +337,18 @@ def _unjoined(members: DataFrame, percent: int, best: bool) -> DataFrame:
                         only = np.zeros_like(hit)
                         only[np.arange(len(hit)), top] = hit[np.arange(len(hit)), top]
                         hit = only
-                    for r, c in zip(*map(np.ndarray.tolist, np.nonzero(hit))):
-                        u, v = ids[rows[r]], ids[x + c]
-                        pairs.add((u, v) if u < v else (v, u))
+                    for r in np.flatnonzero(hit.any(axis=1)).tolist():
+                        near = np.flatnonzero(hit[r])
+                        for c in (near if best else prefixes.near(rows[r] - x, near)).tolist():
+                            u, v = ids[rows[r]], ids[x + c]
+                            pairs.add((u, v) if u < v else (v, u))
                     if len(pairs) > 100_000:
                         yield _pairs(pairs)
                         pairs = set()
                 yield _pairs(pairs)
 
     schema = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
-    return members.select("node", "a", "n", "bits", "component").repartition("node").sortWithinPartitions("node", "a").mapInArrow(run, schema)
+    return members.select("node", "a", "n", "bits", "component", "prefix").repartition("node").sortWithinPartitions("node", "a").mapInArrow(run, schema)
 
 
 def _pairs(pairs) -> pa.RecordBatch:
@@ -385,11 +424,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # First the most promising pairs, which join most components; then every pair that is left.
     for k, best in enumerate((True, False)):
         inside = members.join(labels, F.col("a") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "a"))
+        if best:
+            inside = inside.withColumn("prefix", F.lit(None).cast("binary"))
+        else:
+            inside = _common.written(inside.select("node", "a", "n", "bits", "component"), f"{where}/inside")
+            split = inside.groupBy("node").agg(F.min(F.xxhash64("component")).alias("_x"), F.max(F.xxhash64("component")).alias("_y"))
+            inside = inside.join(split.where(F.col("_x") != F.col("_y")).select("node"), "node", "left_semi")
+            full = _full_sets(docs, id_col, text_col, width, vertices, inside.select("a", F.col("a").alias("b")), f"{where}/wanted-{k}")
+            prefix = full.select(F.col("_vertex").alias("a"), F.substring("_full", 1, 8 * PREFIX).alias("prefix"))
+            inside = inside.join(prefix, "a")
         more = _common.written(pair(_unjoined(inside, percent, best)).join(tested, ["a", "b"], "left_anti"), f"{where}/more-{k}")
         if more.isEmpty():
             continue
         tested = tested.unionByName(more)
-        full = _full_sets(docs, id_col, text_col, width, vertices, more, f"{where}/wanted-{k}")
+        if best:
+            full = _full_sets(docs, id_col, text_col, width, vertices, more, f"{where}/wanted-{k}")
         extra = _common.written(_confirmed(more, full, percent), f"{where}/links-{k}")
         if not extra.isEmpty():
             links = links.unionByName(extra)

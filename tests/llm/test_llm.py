@@ -125,3 +125,21 @@ def test_neighbours_recall(spark):
         d[q] = np.inf
         hit += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
     assert hit / 200 >= 0.9 and got.vec_id.max() < 400
+
+
+@pytest.mark.parametrize("size", [40, 400, 3000])
+def test_prefixes_keep_every_similar_pair(size):
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 2**63, size, dtype=np.uint64)
+    sets = []
+    for share in [1.0, 0.99, 0.95, 0.92, 0.9, 0.88, 0.86, 0.8, 0.7, 0.0] * 4:
+        same = rng.random(size) < share
+        sets.append(np.unique(np.where(same, base, rng.integers(0, 2**63, size, dtype=np.uint64))))
+    prefixes = near_dedup.Prefixes([x[: near_dedup.PREFIX].tobytes() for x in sets], 80)
+    others = np.arange(len(sets))
+    for k, x in enumerate(sets):
+        both = np.array([len(np.intersect1d(x, y)) for y in sets])
+        union = len(x) + np.array([len(y) for y in sets]) - both
+        true, got = set(others[100 * both >= 80 * union].tolist()), set(prefixes.near(k, others).tolist())
+        assert true <= got
+        assert got == true if size <= near_dedup.PREFIX else not got & set(others[both < 0.65 * union].tolist())
