@@ -50,6 +50,7 @@ def test_text(spark):
     assert one(spark, Tx.file_safe(F.lit("a b/c-d"))) == "a_b_c-d"
     assert one(spark, Tx.file_safe(F.lit(""))) == "Unknown"
     assert one(spark, Tx.multipoint_wkt(F.lit("(1, 2, 3) | (4, 5, 6)"))) == "MULTIPOINT Z ((1 2 3), (4 5 6))"
+    assert one(spark, Tx.multipoint_wkt(F.lit("(0.50, 11, 2)"))) == "MULTIPOINT Z ((0.50 11 2))"
     assert one(spark, Tx.type_summary(F.array(F.lit("POC"), F.lit("ELBOW"), F.lit(None)))) == "PO->EB->??"
 
 
