@@ -8,13 +8,14 @@ count of the last level present. Probabilities mix pair and word frequencies:
     P(w | v) = MIX * c(v w) / c(v) + (1 - MIX) * (c(w) + 1) / (N + V + 1)      (c from the filter; the
     first term at most MIX, and 0 for unseen v)
 
-The filter grows with the n-grams to FILTER_BYTES at most, so it may be broadcast at any corpus size. Its
-n-grams are chosen by one rule: the least count from which on all n-grams fit at LOAD (pairs from 2 on). It
-consists of blocks, built by tasks that hold one block each; an n-gram has all its bits in one block.
+The filter holds every n-gram, whatever its count, and grows with them. It consists of 65,536 blocks, by the
+first bits of the key, each sized by its own n-grams at LOAD; an n-gram has all its bits in one block, and a
+block is built where its n-grams are counted.
 
-The exact columns (n_tokens, n_known, base_score) use exact word counts, broadcast as sorted hashes in
-slices of SLICE words; every further slice is another pass over the texts. Should two words share a 64-bit
-hash, counting starts again with another seed.
+Blocks are broadcast in slices of FILTER_BYTES, and the exact word counts of the other columns (n_tokens,
+n_known, base_score) as sorted keys in slices of SLICE words; every further slice is another pass over the
+texts, which carries the levels found so far (two bytes a token). Should two words share a 64-bit hash,
+counting starts again with another seed.
 
 Defined results: null text is the end alone; a null identifier counts as training; repeated identifiers are
 kept, a row for each row; an empty table gives no rows, without training texts every count is 0.
@@ -26,20 +27,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from . import _common
 from .bpe import slices
 from .language_id import fold
 
-FILTER_BYTES, BLOCK_BYTES, LOAD, HASHES = 1 << 26, 1 << 16, 0.35, 3
+FILTER_BYTES, LOAD, HASHES = 1 << 26, 0.35, 3
+BLOCKS, BLOCK_SHIFT = 1 << 16, 48
 MIX = 0.4
 SLICE = 8_000_000
 #: Pairs held by a counting task before it passes them on.
 HELD = 3_000_000
+#: Partial counts from which on a task builds the blocks it has whole.
+CHUNK = 1_000_000
 END = b""
+_LOW = np.uint64(2**32 - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -73,44 +79,67 @@ def _hasher(seed: int):
     return lambda w: xxhash.xxh3_64_intdigest(w, seed)
 
 
+def mean_count(levels: np.ndarray) -> np.ndarray:
+    """A level holds counts from 2^(n-1) to 2^n - 1; 0 where level 1 is absent."""
+    return np.where(levels > 0, (1.5 * np.exp2(levels - 1.0)) - 0.5, 0.0)
+
+
+def block_of(keys: np.ndarray) -> np.ndarray:
+    """Blocks are in the order of signed keys."""
+    return (keys.view(np.int64) >> BLOCK_SHIFT) + BLOCKS // 2
+
+
+def places(keys: np.ndarray, at_level: int, bits: np.ndarray) -> list[np.ndarray]:
+    """The places of (key, level) pairs in blocks of so many bits (below 2^32)."""
+    h = _mix(keys + np.uint64(at_level * 0x9E3779B97F4A7C15 % 2**64))
+    low, step, m = h & _LOW, (h >> np.uint64(32)) | np.uint64(1), bits.astype(np.uint64)
+    return [((((low + np.uint64(i) * step) & _LOW) * m) >> np.uint64(32)).astype(np.int64) for i in range(HASHES)]
+
+
+def filled(keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks, their sizes in bytes, their bytes one after another) for sorted keys."""
+    block = block_of(keys)
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    size = np.ceil(np.add.reduceat(levels, starts) * (HASHES / LOAD / 8)).astype(np.int64)
+    of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(keys)))
+    room, base = 8 * size[of], 8 * (np.cumsum(size) - size)[of]
+    bits = np.zeros(8 * size.sum(), dtype=bool)
+    at, n = np.arange(len(keys)), 1
+    while len(at):
+        for place in places(keys[at], n, room[at]):
+            bits[base[at] + place] = True
+        n += 1
+        at = at[levels[at] >= n]
+    return block[starts], size, np.packbits(bits, bitorder="little")
+
+
 class LogFilter:
-    """Blocked Bloom filter of (key, level) pairs."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-        self.blocks = len(bits) * 8 // (BLOCK_BYTES * 8)
-
-    @staticmethod
-    def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
-        return ((keys >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
-
-    @staticmethod
-    def places(keys: np.ndarray, at_level: int) -> list[np.ndarray]:
-        h = _mix(keys + np.uint64(at_level * 0x9E3779B97F4A7C15 % 2**64))
-        size = np.uint64(BLOCK_BYTES * 8 - 1)
-        return [(h >> np.uint64(20 * i)) & size for i in range(HASHES)]
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Mean count of each key's level; 0 where level 1 is absent."""
-        found = np.zeros(len(keys), dtype=np.int64)
-        at = np.arange(len(keys))
-        base = self.block_of(keys, self.blocks) * BLOCK_BYTES
+    """Bloom filter of (key, level) pairs over the blocks that it is given; other keys have level 0."""
+
+    def __init__(self, blocks: np.ndarray, sizes: np.ndarray, data: np.ndarray):
+        self.data, self.size, self.base = data, np.zeros(BLOCKS, dtype=np.int64), np.zeros(BLOCKS, dtype=np.int64)
+        self.size[blocks] = sizes
+        self.base[blocks] = np.cumsum(sizes) - sizes
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level present of each key."""
+        found = np.zeros(len(keys), dtype=np.uint8)
+        block = block_of(keys)
+        at = np.flatnonzero(self.size[block])
+        k, base, room = keys[at], self.base[block[at]], 8 * self.size[block[at]]
         n = 1
         while len(at) and n < 64:
             here = np.ones(len(at), dtype=bool)
-            k, b = keys[at], base[at]
-            for place in self.places(k, n):
-                byte = self.bits[b + (place >> np.uint64(3)).astype(np.int64)]
-                here &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            at = at[here]
+            for place in places(k, n, room):
+                here &= (self.data[base + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
+            at, k, base, room = at[here], k[here], base[here], room[here]
             found[at] = n
             n += 1
-        # A level holds counts from 2^(n-1) to 2^n - 1.
-        return np.where(found > 0, (1.5 * np.exp2(found - 1.0)) - 0.5, 0.0)
+        return found
 
 
 def _counted(docs: DataFrame, text_col: str, seed: int) -> DataFrame:
-    """Partial counts: word rows (word, h, n) and pair rows (h, n)."""
+    """Partial counts: word rows (word, key, n) and pair rows (key, n)."""
 
     def run(batches):
         hash_of, known = _hasher(seed), {}
@@ -121,11 +150,11 @@ def _counted(docs: DataFrame, text_col: str, seed: int) -> DataFrame:
         def flush():
             w = list(words)
             h = np.fromiter(map(known.__getitem__, w), dtype=np.uint64, count=len(w))
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(h.view(np.int64)), pa.array(list(words.values()), pa.int64())], ["word", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(word_key(h).view(np.int64)), pa.array(list(words.values()), pa.int64())], ["word", "key", "n"])
             k, n = np.unique(np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64), return_counts=True)
             for i in range(0, len(k), 200_000):
                 part = k[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array(part.view(np.int64)), pa.array(n[i : i + 200_000], pa.int64())], ["word", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array(part.view(np.int64)), pa.array(n[i : i + 200_000], pa.int64())], ["word", "key", "n"])
             keys.clear()
             words.clear()
 
@@ -151,86 +180,102 @@ def _counted(docs: DataFrame, text_col: str, seed: int) -> DataFrame:
                     held = 0
         yield from flush()
 
-    schema = StructType([StructField("word", BinaryType()), StructField("h", LongType()), StructField("n", LongType())])
+    schema = StructType([StructField("word", BinaryType()), StructField("key", LongType()), StructField("n", LongType())])
     return docs.select(text_col).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES):
-    """(words table: h, n; N; V; LogFilter bits) from every row of docs."""
+def _merged(table: pa.Table) -> pa.RecordBatch:
+    """Word rows (key, n, clash) and block rows (block, bits) of partial counts sorted by key, of whole blocks."""
+    key, n = (table.column(c).to_numpy() for c in ("key", "n"))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    blocks, sizes, data = filled(key[starts].view(np.uint64), level(np.add.reduceat(n, starts)))
+    ends, data = np.cumsum(sizes), data.tobytes()
+    words = table.filter(pc.is_valid(table.column("word")))
+    key, n, word = words.column("key").to_numpy(), words.column("n").to_numpy(), words.column("word").combine_chunks()
+    same = key[1:] == key[:-1]
+    clash = bool(pc.any(pc.and_(pa.array(same), pc.not_equal(word[1:], word[:-1]))).as_py())
+    starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(key) else np.empty(0, dtype=np.int64)
+    n = np.add.reduceat(n, starts) if len(key) else n
+    w, b = len(starts), len(blocks)
+    columns = [
+        pa.concat_arrays([pa.array(key[starts]), pa.nulls(b, pa.int64())]),
+        pa.concat_arrays([pa.array(n), pa.nulls(b, pa.int64())]),
+        pa.array([clash] * (w + b), pa.bool_()),
+        pa.concat_arrays([pa.nulls(w, pa.int32()), pa.array(blocks.astype(np.int32))]),
+        pa.concat_arrays([pa.nulls(w, pa.binary()), pa.array([data[y - x : y] for x, y in zip(sizes.tolist(), ends.tolist())], pa.binary())]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["key", "n", "clash", "block", "bits"])
+
+
+def _build(batches):
+    held: list[pa.RecordBatch] = []
+    rows, goal = 0, CHUNK
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= goal:
+            table = pa.Table.from_batches(held)
+            block = block_of(table.column("key").to_numpy())
+            cut = int(np.searchsorted(block, block[-1]))
+            if cut:
+                yield _merged(table.slice(0, cut))
+            held, rows = table.slice(cut).to_batches(), rows - cut
+            goal = max(CHUNK, 2 * rows)
+    if rows:
+        yield _merged(pa.Table.from_batches(held))
+
+
+def train(docs: DataFrame, text_col: str = "text"):
+    """(words table: key, n; N; V; blocks table: block, bits; seed) from every row of docs."""
     spark = docs.sparkSession
+    built = StructType([StructField("key", LongType()), StructField("n", LongType()), StructField("clash", BooleanType()), StructField("block", IntegerType()), StructField("bits", BinaryType())])
     for seed in range(8):
-        where = _common.work_dir(spark)
-        counted = _counted(docs, text_col, seed).groupBy("word", "h").agg(F.sum("n").alias("n"))
-        counted = _common.written(counted.where("word is not null or n > 1").repartition("h"), f"{where}/counts")
-        words = counted.where(F.col("word").isNotNull())
-        if words.groupBy("h").count().where("count > 1").isEmpty():
+        dealt = _counted(docs, text_col, seed).repartition(F.shiftright("key", BLOCK_SHIFT)).sortWithinPartitions("key")
+        model = _common.written(dealt.mapInArrow(_build, built), f"{_common.work_dir(spark)}/model")
+        if model.where("clash").isEmpty():
             break
+    words = model.where("block is null").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    return words, total, distinct, model.where("block is not null").select("block", "bits"), seed
 
-    # The least count from which on everything fits.
-    lev = F.floor(F.log2(F.col("n").cast("double")) + 1e-12).cast("int") + 1
-    sizes = {r[0]: r[1] * r[0] for r in counted.groupBy(lev.alias("level")).count().collect()}
-    room = filter_bytes * 8 * LOAD / HASHES
-    least = 1
-    while sum(v for k, v in sizes.items() if k >= least) > room:
-        least += 1
-    bits = sum(v for k, v in sizes.items() if k >= least) * HASHES / LOAD
-    blocks = min(max(1, filter_bytes // BLOCK_BYTES), max(1, math.ceil(bits / 8 / BLOCK_BYTES)))
-    kept = counted.where(lev >= least).select("h", F.col("word").isNotNull().alias("is_word"), lev.alias("level"))
-
-    def keyed(batches):
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            key = np.where(batch.column(1).to_numpy(zero_copy_only=False), word_key(h), h)
-            yield pa.RecordBatch.from_arrays([pa.array(LogFilter.block_of(key, blocks)), pa.array(key.view(np.int64)), batch.column(2)], ["block", "key", "level"])
 
-    def build(batches):
-        now, bits = None, None
-        for batch in batches:
-            block, key, top = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else [0]
-            for x, y in zip(cuts, cuts[1:]):
-                if block[x] != now:
-                    if bits is not None:
-                        yield _block(now, bits)
-                    now, bits = int(block[x]), np.zeros(BLOCK_BYTES, dtype=np.uint8)
-                k, t = key[x:y].view(np.uint64), top[x:y]
-                for n in range(1, int(t.max()) + 1):
-                    for place in LogFilter.places(k[t >= n], n):
-                        np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
-        if bits is not None:
-            yield _block(now, bits)
-
-    dealt = StructType([StructField("block", LongType()), StructField("key", LongType()), StructField("level", IntegerType())])
-    built = StructType([StructField("block", LongType()), StructField("bits", BinaryType())])
-    parts = kept.mapInArrow(keyed, dealt).repartition("block").sortWithinPartitions("block").mapInArrow(build, built)
-    found = np.zeros(blocks * BLOCK_BYTES, dtype=np.uint8)
-    for r in parts.toLocalIterator():
-        found[r["block"] * BLOCK_BYTES : (r["block"] + 1) * BLOCK_BYTES] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return words.select("h", "n"), total, distinct, found, seed
-
-
-def _block(block: int, bits: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
+def _cuts(blocks: DataFrame, filter_bytes: int) -> list[tuple[int, int]]:
+    """First and last block of slices of filter_bytes (a larger block is one by itself)."""
+    out: list[list[int]] = []
+    for block, n in sorted(map(tuple, blocks.select("block", F.octet_length("bits")).collect())):  # BLOCKS rows at most
+        if not out or out[-1][2] + n > filter_bytes:
+            out.append([block, block, 0])
+        out[-1][1:] = block, out[-1][2] + n
+    return [(x, y) for x, y, _ in out]
 
 
 _SCORES = [("n_tokens", LongType()), ("n_known", LongType()), ("base_score", DoubleType()), ("score", DoubleType())]
 
 
-def _pass(docs: DataFrame, text_col: str, exact, total: int, distinct: int, bits, seed: int) -> DataFrame:
-    """Replaces the text by the columns of _SCORES; known words and base scores over the hashes in `exact`."""
-    keep = [f for f in docs.schema.fields if f.name != text_col]
+_STATE = [("_known", LongType()), ("_base", DoubleType()), ("_words", BinaryType()), ("_pairs", BinaryType())]
+
+
+def _pass(docs: DataFrame, text_col: str, exact, filt, total: int, distinct: int, seed: int, last: bool) -> DataFrame:
+    """Known words, base scores and levels over the slices in `exact` and `filt`, added to those of the pass before.
+
+    The last pass replaces the text by the columns of _SCORES, others add those of _STATE.
+    """
+    names = [n for n, _ in _STATE]
+    before_ = "_known" in docs.columns
+    keep = [f for f in docs.schema.fields if f.name not in names and not (last and f.name == text_col)]
 
     def run(batches):
         hash_of = _hasher(seed)
         hashes, counts, low, high = exact.value
-        filt = LogFilter(bits.value) if bits is not None else None
+        held = LogFilter(*filt.value) if filt is not None else None
+        levels = held.levels if held is not None else lambda keys: np.zeros(len(keys), dtype=np.uint8)
         known: dict[bytes, int] = {}
         h_of, c_of, own_of, uni_of = [], [], [], []
 
         def learn(new: list[bytes]) -> None:
             h = np.fromiter(map(hash_of, new), dtype=np.uint64, count=len(new))
-            signed = h.view(np.int64)
+            key = word_key(h)
+            signed = key.view(np.int64)
             at = np.minimum(np.searchsorted(hashes, signed), max(0, len(hashes) - 1))
             c = np.where(hashes[at] == signed, counts[at], 0) if len(hashes) else np.zeros(len(new), dtype=np.int64)
             for w in new:
@@ -238,11 +283,12 @@ def _pass(docs: DataFrame, text_col: str, exact, total: int, distinct: int, bits
             h_of.append(h)
             c_of.append(c)
             own_of.append((signed >= low) & (signed <= high))
-            uni_of.append(filt.counts(word_key(h)) if filt else np.zeros(len(new)))
+            uni_of.append(levels(key))
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            rest = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            texts = column(text_col).to_pylist()
+            rest = [column(f.name) for f in keep]
             for i, j in slices(texts):
                 lists = [tokens(x) for x in texts[i:j]]
                 if len(known) > 600_000:
@@ -256,23 +302,30 @@ def _pass(docs: DataFrame, text_col: str, exact, total: int, distinct: int, bits
                 for x in (h_of, c_of, own_of, uni_of):
                     x[:] = [np.concatenate(x)]
                 at = np.fromiter(map(known.__getitem__, every), dtype=np.int64, count=len(every))
-                starts = np.cumsum([0, *(len(x) for x in lists[:-1])])
-                c, own = c_of[0][at[1:]], own_of[0][at[1:]]
-                base = np.where(own, np.log10((c + 1) / (total + distinct + 1)), 0.0)
-                score = np.zeros(len(base))
-                if filt:
-                    before, h, uni = h_of[0][at[:-1]], h_of[0][at[1:]], uni_of[0]
-                    context = uni[at[:-1]]
-                    both = filt.counts(pair_key(before, h))
-                    p = MIX * np.minimum(1.0, both / np.maximum(context, 1.0)) * (context > 0)
-                    score = np.log10(p + (1 - MIX) * (uni[at[1:]] + 1) / (total + distinct + 1))
+                sizes = [len(x) for x in lists]
+                starts = np.cumsum([0, *sizes[:-1]])
                 add = lambda x: np.add.reduceat(x, starts)
-                yield pa.RecordBatch.from_arrays(
-                    [*(x.slice(i, j - i) for x in rest), pa.array([len(x) for x in lists], pa.int64()), pa.array(add((c > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(score))],
-                    [*(f.name for f in keep), *(n for n, _ in _SCORES)],
-                )
-
-    return docs.mapInArrow(run, StructType([*keep, *(StructField(n, t) for n, t in _SCORES)]))
+                c, own = c_of[0][at[1:]], own_of[0][at[1:]]
+                in_train = add((c > 0).astype(np.int64))
+                base = add(np.where(own, np.log10((c + 1) / (total + distinct + 1)), 0.0))
+                uni, both = uni_of[0][at[1:]], levels(pair_key(h_of[0][at[:-1]], h_of[0][at[1:]]))
+                if before_:
+                    of = lambda name: column(name).slice(i, j - i)
+                    in_train, base = in_train + of("_known").to_numpy(), base + of("_base").to_numpy()
+                    uni, both = (x + np.frombuffer(b"".join(of(n).to_pylist()), dtype=np.uint8) for x, n in ((uni, "_words"), (both, "_pairs")))
+                if last:
+                    # Every text ends with END, which is the word before each first one.
+                    word, context = mean_count(uni), mean_count(np.concatenate([uni[-1:], uni[:-1]]))
+                    p = MIX * np.minimum(1.0, mean_count(both) / np.maximum(context, 1.0)) * (context > 0)
+                    score = np.log10(p + (1 - MIX) * (word + 1) / (total + distinct + 1))
+                    new = [pa.array(sizes, pa.int64()), pa.array(in_train), pa.array(base), pa.array(add(score))]
+                else:
+                    cut = lambda x: pa.array([x[k : k + n].tobytes() for k, n in zip(starts.tolist(), sizes)], pa.binary())
+                    new = [pa.array(in_train), pa.array(base), cut(uni), cut(both)]
+                yield pa.RecordBatch.from_arrays([*(x.slice(i, j - i) for x in rest), *new], schema.names)
+
+    schema = StructType([*keep, *(StructField(n, t) for n, t in (_SCORES if last else _STATE))])
+    return docs.mapInArrow(run, schema)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, filter_bytes: int = FILTER_BYTES, slice_words: int = SLICE) -> DataFrame:
@@ -281,26 +334,37 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _common.shipped(spark)
     sc = spark.sparkContext
     held = F.coalesce(fold(id_col, folds) == held_fold, F.lit(False))
-    words, total, distinct, bits, seed = train(docs.where(~held), text_col, filter_bytes)
-    shared = sc.broadcast(bits)  # filter_bytes
+    words, total, distinct, blocks, seed = train(docs.where(~held), text_col)
     slices_ = max(1, math.ceil(distinct / slice_words))
     edges = [-(2**63) + (2**64 * k) // slices_ for k in range(slices_ + 1)]
-    rows = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_text_hash"))
-    out = None
-    for low, high in zip(edges, edges[1:]):
-        part = words.where(F.col("h").between(F.lit(low), F.lit(high - 1))).toArrow()
-        h, n = part.column("h").to_numpy(), part.column("n").to_numpy()
-        order = np.argsort(h)
-        exact = sc.broadcast((h[order], n[order], low, high - 1))  # about slice_words entries
-        one = _pass(rows, text_col, exact, total, distinct, shared if out is None else None, seed)
-        if out is None:
-            out = one
-        else:
-            more = one.select(F.col(id_col).alias("_i"), F.col("_text_hash").alias("_t"), F.col("n_known").alias("_k"), F.col("base_score").alias("_b")).dropDuplicates(["_i", "_t"])
-            out = out.join(more, F.col(id_col).eqNullSafe(F.col("_i")) & F.col("_text_hash").eqNullSafe(F.col("_t")))
-            out = out.withColumns({"n_known": F.col("n_known") + F.col("_k"), "base_score": F.col("base_score") + F.col("_b")}).drop("_i", "_t", "_k", "_b")
+    cuts = _cuts(blocks, filter_bytes)
+    passes = max(slices_, len(cuts))
+    where = _common.work_dir(spark)
+    out = docs.select(id_col, text_col)
+    for k in range(passes):
+        low, high = (edges[k], edges[k + 1] - 1) if k < slices_ else (0, -1)
+        part = words.where(F.col("key").between(F.lit(low), F.lit(high))).toArrow()
+        key, n = part.column("key").to_numpy(), part.column("n").to_numpy()
+        order = np.argsort(key)
+        exact = sc.broadcast((key[order], n[order], low, high))  # about slice_words entries
+        filt = sc.broadcast(_slice(blocks, *cuts[k])) if k < len(cuts) else None  # filter_bytes
+        out = _pass(out, text_col, exact, filt, total, distinct, seed, k == passes - 1)
+        if k < passes - 1:
+            out = _common.written(out, f"{where}/{k}")
+            for x in (exact, filt):
+                if x is not None:
+                    x.destroy()
+            if k:
+                _common.dropped(spark, f"{where}/{k - 1}")
     return out.select(id_col, held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _slice(blocks: DataFrame, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What LogFilter takes, for the blocks from first to last."""
+    part = blocks.where(F.col("block").between(first, last)).toArrow().sort_by("block")
+    bits = part.column("bits").to_pylist()
+    return part.column("block").to_numpy(), np.array([len(x) for x in bits], dtype=np.int64), np.frombuffer(b"".join(bits), dtype=np.uint8)
+
+
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:
     return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

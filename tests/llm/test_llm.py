@@ -97,6 +97,32 @@ def test_lm_base_scores(docs):
     assert got[1]["n_tokens"] == 1 and got[3]["n_tokens"] == 3
 
 
+def test_lm_scores_hold_every_pair_in_slices(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 400)}" for _ in range(rnd.randint(0, 60)))) for i in range(400)]
+    table = spark.createDataFrame([*rows, (400, None)], "doc_id long, text string")
+    whole, cut = ({r["doc_id"]: r for r in lm_score.score_texts(table, **x).collect()} for x in ({}, {"filter_bytes": 3000, "slice_words": 150}))
+    assert len(whole) == len(cut) == 401
+    for i, r in whole.items():
+        assert (r["n_known"], r["score"], r["base_score"]) == (cut[i]["n_known"], pytest.approx(cut[i]["score"]), pytest.approx(cut[i]["base_score"]))
+    # Against counts recounted here, to their levels; most pairs occur once.
+    uni, two = {}, {}
+    for i, x in rows:
+        if not whole[i]["held_out"]:
+            t = lm_score.tokens(x)
+            for v, w in zip([b"", *t], t):
+                uni[w], two[v, w] = uni.get(w, 0) + 1, two.get((v, w), 0) + 1
+    uni[b""] += not whole[400]["held_out"]
+    two[b"", b""] = two.get((b"", b""), 0) + (not whole[400]["held_out"])
+    mean = lambda n: 1.5 * 2 ** (n.bit_length() - 1) - 0.5 if n else 0
+    size, off = sum(uni.values()) + len(uni) + 1, []
+    for i, x in rows:
+        t = lm_score.tokens(x)
+        p = [0.4 * min(1, mean(two.get((v, w), 0)) / max(1, mean(uni.get(v, 0)))) + 0.6 * (mean(uni.get(w, 0)) + 1) / size for v, w in zip([b"", *t], t)]
+        off.append(abs(sum(map(np.log10, p)) - whole[i]["score"]) / len(t))
+    assert np.mean(off) < 0.03
+
+
 def test_secrets_link_weak_parts():
     text = 'password = "hunter22" at https://host/x for user_id=someone'
     kinds = [secret_scan.KINDS[k] for _, _, k in secret_scan.spans(text)]
