@@ -2,9 +2,11 @@
 
 Base patterns (assigned secrets, access identifiers, long hexadecimal runs) count on their own. Weak
 candidates (account identifiers, bare keys, endpoints) are reported only when complementary parts lie within
-their scope: the candidate's interval, widened by SCOPE code points either way, is joined with the intervals
-of the other parts by a binary search over their sorted starts. An identifier needs a secret, a bare key
-needs an identifier, an endpoint needs both. Weak candidates inside a base match add nothing.
+their scope: the candidate's interval, widened by SCOPE code points either way, or its block, is joined with
+the intervals of the other parts by a binary search over their sorted starts. A block is the innermost pair of
+braces around the candidate, with all it holds, or else what blank lines and the text's ends bound. An
+identifier needs a secret, a bare key needs an identifier, an endpoint needs both. Weak candidates inside a
+base match add nothing, and an identifier's own value is not its key.
 
 Each row is scanned on its own, without a shuffle. Null text is empty text; null or repeated identifiers are
 kept, a row for each row; an empty table gives no rows.
@@ -31,9 +33,11 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak candidates.
 ACCOUNT = re.compile(r"""(?:client|account|tenant|access_?key|user)[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}""", re.ASCII | re.IGNORECASE)
-BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
+BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
 BARE_HINT = re.compile(r"[A-Za-z0-9+/]{32}")
 ENDPOINT = re.compile(r"""(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+""", re.ASCII)
+BRACE = re.compile(r"[{}]")
+BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
 KINDS = ("assign", "access", "hex", "account", "key", "endpoint")
 
 Span = tuple[int, int, int]  # start, end, position in KINDS
@@ -64,18 +68,46 @@ class Intervals:
         return k > 0 and self.ends[k - 1] > start
 
 
+def blocks(text: str, parts: list[Span]) -> dict[int, tuple[int, int]]:
+    """The block of each part by its start."""
+    closes, opened = {}, []
+    braces = [m.start() for m in BRACE.finditer(text)]
+    for at in braces:
+        if text[at] == "{":
+            opened.append(at)
+        elif opened:
+            closes[opened.pop()] = at
+    pairs = sorted(closes.items())
+    blanks = [0, *(m.start() for m in BLANK.finditer(text)), len(text)]
+    out, around, k = {}, [], 0
+    for start in sorted({s[0] for s in parts}):
+        while k < len(pairs) and pairs[k][0] < start:
+            while around and around[-1][1] < pairs[k][0]:
+                around.pop()
+            around.append(pairs[k])
+            k += 1
+        while around and around[-1][1] < start:
+            around.pop()
+        n = min(bisect.bisect_right(blanks, start), len(blanks) - 1)
+        out[start] = around[-1] if around else (blanks[n - 1], blanks[n])
+    return out
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates whose complementary parts are in scope."""
     taken = Intervals(base)
     find = lambda pattern, kind: [(m.start(), m.end(), kind) for m in pattern.finditer(text) if not taken.meets(m.start(), m.end())]
     accounts = find(ACCOUNT, 3) if "=" in text or ":" in text else []
     keys = find(BARE_KEY, 4) if BARE_HINT.search(text) else []
+    if accounts and keys:
+        keys = [k for k in keys if not any(a[0] <= k[0] and k[1] <= a[1] for a in accounts[max(0, bisect.bisect(accounts, k) - 1) :][:1])]
     if not base and not (accounts and keys):
         return []
     endpoints = find(ENDPOINT, 5) if "://" in text else []
     identifiers = Intervals([s for s in base if s[2] == 1] + accounts)
     secrets = Intervals([s for s in base if s[2] != 1] + keys)
-    near = lambda s, parts: parts.meets(s[0] - SCOPE, s[1] + SCOPE)
+    block = blocks(text, accounts + keys + endpoints)
+    near = lambda s, parts: parts.meets(s[0] - SCOPE, s[1] + SCOPE) or parts.meets(*block[s[0]])
     out = [s for s in accounts if near(s, secrets)] + [s for s in keys if near(s, identifiers)]
     return out + [s for s in endpoints if near(s, identifiers) and near(s, secrets)]
 
