@@ -4,7 +4,7 @@ A document's set is its distinct word shingles. Equal sets are one vertex. Every
 TREES independent trees: at each node it goes to the child named by the token of its set that is least under
 the node's own minwise function (the two topmost levels make one key, by which Spark deals the vertices to
 tasks). Nodes of at most SMALL vertices are compared exhaustively on two-bit sketches of all minwise values;
-larger ones branch on, and at the last level the vertices of a node are compared with pivots. A node with
+larger ones branch on, and at the deepest level the vertices of a node are compared with pivots. A node with
 few similar pairs reports all of them; a dense one reports a spanning forest and its members. All reported
 pairs are confirmed on full sets. Once the components of the confirmed links are known, dense nodes report
 the similar pairs that these components don't join: in a first round the best one of each vertex, in a
@@ -13,7 +13,9 @@ sets before they leave their node, else a node of texts slightly below the simil
 All are confirmed as well: what isn't looked at are pairs inside one component, whose links change no result.
 
 Recall: a pair of similarity s is in a common node of depth d with probability s^d for each tree, so a pair
-at 0.8 is missed in 16 trees with (1 - 0.64)^16 = 8e-8 at depth 2, 2e-4 at depth 4. The sketch comparison
+at 0.8 is missed in 16 trees with (1 - 0.64)^16 = 8e-8 at depth 2, 2e-4 at depth 4, but 5e-2 at depth 8. The
+deepest level is the last at which a pair of the least similarity is missed with MISSED at most, whatever the
+size of the nodes (depth 4 at 0.8); what a node has beyond costs time, not pairs. The sketch comparison
 loses a pair at 0.8 with a probability of about 1e-6; the prefix test loses none of sets that fit the prefix, and
 one of longer sets where the estimate is six deviations too low.
 
@@ -40,6 +42,8 @@ from .exact_dedup import bitmap_filter, maybe_in
 
 TREES, LEVELS, SMALL = 16, 8, 256
 FUNCTIONS = TREES * LEVELS
+#: Share of the pairs of the least similarity that branching may miss.
+MISSED = 1e-3
 #: Two-bit agreements of FUNCTIONS that a pair needs; at similarity 0.8 108.8 are expected, deviation 4.
 AGREE = 90
 #: Shingle hashes of each vertex that the second round has in a node: 8 KB at most.
@@ -130,6 +134,7 @@ class Node:
 
     def __init__(self, percent: int):
         self.percent = percent
+        self.deepest = max((d for d in range(2, LEVELS + 1) if (1 - (percent / 100) ** d) ** TREES <= MISSED), default=2)
         self.pairs: list[tuple[bytes, bytes]] = []
         self.members: list[tuple[int, bytes, int, bytes]] = []
 
@@ -141,7 +146,7 @@ class Node:
                 continue
             if len(at) <= SMALL:
                 self.compare(name, at, ids, n, bits)
-            elif depth == LEVELS:
+            elif depth == self.deepest:
                 self.pivots(name, at, ids, n, bits)
             else:
                 values, inverse = np.unique(tokens[at, depth], return_inverse=True)

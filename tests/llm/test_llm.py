@@ -184,3 +184,16 @@ def test_prefixes_keep_every_similar_pair(size):
         true, got = set(others[100 * both >= 80 * union].tolist()), set(prefixes.near(k, others).tolist())
         assert true <= got
         assert got == true if size <= near_dedup.PREFIX else not got & set(others[both < 0.65 * union].tolist())
+
+
+def test_near_dedup_in_large_nodes(spark):
+    """2,000 texts that share three quarters of their words, 1,000 pairs of them at 0.804."""
+    rows, pairs = [], set()
+    k = 12
+    for i in range(0, 2000, 2):
+        own = [[f"p{i}_{x}" for x in range(k)] + [f"q{j}_{x}" for x in range(50 - k)] for j in (i, i + 1)]
+        rows += [(i + n, " ".join([f"c{x}" for x in range(300)] + x)) for n, x in enumerate(own)]
+        pairs.add((i, i + 1))  # all others have the 300 common words of 400
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=1).collect()
+    found = {(r["component_id"], r["doc_id"]) for r in got if r["component_id"] != r["doc_id"]}
+    assert len(pairs) == 1000 and found == pairs
