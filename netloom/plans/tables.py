@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """A new folder for intermediate tables, in the folder that all executors share.
 
-    Where the session names none (tests, a single machine), a temporary folder is set for it.
+    Where the session names none, a cluster uses the warehouse, which is shared as well; a session whose driver
+    is its only executor (as in tests) gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
         base = tempfile.mkdtemp(prefix="netloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
+    elif not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_netloom"
     return f"{base.rstrip('/')}/netloom-{uuid.uuid4().hex}"
 
 
