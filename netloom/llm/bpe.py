@@ -1,42 +1,43 @@
 """BPE encoding by tree concatenation, and decoding.
 
-A text is halved down to leaves; all leaves of a batch are encoded alike, independent of each other. The
-halves are then joined bottom-up: a window of tokens around the join is encoded anew and grows until it
-holds, on either side, a token that also stands at the same bytes in that side's own encoding. From there
-on both encodings agree: adjacent tokens of a valid encoding are valid pairs, a sequence of valid pairs is
-the encoding of its text, and the tokenizer's splitting looks no further than one character ahead. The
-window's first token (and its last) may start (or end) inside a word and doesn't count, unless the window
-reaches that end of the text. If no such tokens appear, the window grows to both whole sides.
+Special tokens are taken out first, as the library does; what lies between them is encoded on its own. A text
+is halved down to leaves; all leaves of a batch are encoded alike, independent of each other. Texts longer
+than LONG_CHARS are cut to chunks that tasks encode in parallel. The halves are then joined bottom-up: a
+window of tokens around the join is encoded anew and grows until it holds, on either side, a token that also
+stands at the same bytes in that side's own encoding. From there on both encodings agree: adjacent tokens of a
+valid encoding are valid pairs, a sequence of valid pairs is the encoding of its text, and the tokenizer's
+splitting looks no further than one character ahead. The window's first token (and its last) may start (or
+end) inside a word and doesn't count, unless the window reaches that end of the text. If no such tokens
+appear, the window grows to both whole sides.
 
 Leaves are encoded by word: a blank or line feed after another character always starts a new word of the
 byte-level splitting rule, so each piece of white space with the word after it is encoded on its own by the
-tokenizers library and remembered. Leaves with other white space or special tokens go to the library whole.
+tokenizers library and remembered. Leaves with other white space go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from . import _common
 
 #: Words of a generation; a Python worker remembers two of them. Characters of the longest such word.
-REMEMBERED, LONGEST = 350_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: A full stop or comma at a word's end: between a letter or digit and punctuation a new part always begins.
 END_MARK = re.compile(r"([.,])(?=[ \n])(?<=[^\W_][.,])")
 #: White space and the word after it, up to a mark.
 PIECE = re.compile(r"[ \n]*[^ \n\0]+|[ \n]+")
-#: White space but blank and line feed, by any Unicode version, and the start of special tokens.
-UNUSUAL = re.compile("[^\\S \n]|[\0᠎​﻿]|<\\|")
-
-_loaded: dict[tuple[str, str], object] = {}
-
+#: White space but blank and line feed, by any Unicode version.
+UNUSUAL = re.compile("[^\\S \n]|[\0\u180e\u200b\ufeff]")
+#: Characters of a chunk of a text that is encoded by several tasks.
+LONG_CHARS = 1 << 16
 
 class WordCache:
     """Encodes lists of words with the tokenizers library; frequent words only once."""
@@ -51,6 +52,11 @@ class WordCache:
         self.library = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
         self.library.no_truncation()
         self.library.no_padding()
+        added = self.library.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError(f"{name}: added tokens that take in their surroundings are not supported")
+        #: Special tokens, longest first, and their identifiers.
+        self.special = {t.content: i for i, t in sorted(added.items(), key=lambda x: -len(x[1].content))}
         self.known: dict[str, bytes] = {"": b""}
         self.earlier: dict[str, bytes] = {}
 
@@ -81,9 +87,10 @@ class WordCache:
 
 def loaded(kind: type, name: str):
     """One instance for each Python worker."""
-    if (found := _loaded.get((kind.__name__, name))) is None:
-        found = _loaded[kind.__name__, name] = kind(name)
-    return found
+    kept = _common.worker_memory(kind.__name__)
+    if name not in kept:
+        kept[name] = kind(name)
+    return kept[name]
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -101,10 +108,10 @@ class TreeBpe(WordCache):
         self.leaf_chars = leaf_chars
         letters = _byte_alphabet()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        self.cut = re.compile("(" + ("|".join(map(re.escape, self.special)) or "(?!)") + ")")
         self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.bytes_of[i] = token.encode() if token in special else bytes(letters[c] for c in token)
+            self.bytes_of[i] = token.encode() if token in self.special else bytes(letters[c] for c in token)
         self.size_of = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.windows = 0
 
@@ -157,6 +164,19 @@ class TreeBpe(WordCache):
             n *= 2
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; special tokens are found in it first."""
+        cut = [self.cut.split(x) for x in texts]  # plain parts at even places
+        ids = iter(self.encode_plain([part for parts in cut for part in parts[::2]]))
+        out = []
+        for parts in cut:
+            out.append(b"".join(next(ids) if k % 2 == 0 else self.special_id(part) for k, part in enumerate(parts)))
+        return out
+
+    def special_id(self, token: str) -> bytes:
+        return self.special[token].to_bytes(4, "little")
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without special tokens, by tree concatenation."""
         leaves: list[str] = []
         spans = []
         for text in texts:
@@ -167,56 +187,118 @@ class TreeBpe(WordCache):
             spans.append((len(leaves), parts))
             leaves += [text[x:y] for x, y in zip(cuts, cuts[1:])]
         ids = self.encode_leaves(leaves)
-        out = []
-        for at, parts in spans:
-            if parts == 1:
-                out.append(ids[at])
-                continue
-            nodes = [(np.frombuffer(ids[k], dtype=np.uint32), leaves[k].encode()) for k in range(at, at + parts)]
-            while len(nodes) > 1:
-                nodes = [self.join(x, y) for x, y in zip(nodes[::2], nodes[1::2])]
-            out.append(nodes[0][0].tobytes())
-        return out
+        return [self.joined([(np.frombuffer(ids[k], dtype=np.uint32), leaves[k].encode()) for k in range(at, at + parts)])[0].tobytes() for at, parts in spans]
+
+    def joined(self, nodes: list[tuple[np.ndarray, bytes]]) -> tuple[np.ndarray, bytes]:
+        """Joins neighbouring nodes, level by level, to one."""
+        while len(nodes) > 1:
+            last = nodes[len(nodes) & ~1 :]
+            nodes = [self.join(x, y) for x, y in zip(nodes[::2], nodes[1::2])] + last
+        return nodes[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype=np.uint32).tolist())).decode("utf-8", "replace")
 
 
-def slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of about `most` characters each, to bound a worker's memory."""
-    start, size = 0, 0
-    for i, x in enumerate(texts):
-        size += len(x or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", decode: bool = True) -> DataFrame:
+def bpe_encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", decode: bool = True, long_chars: int = LONG_CHARS
+) -> DataFrame:
     """(identifier, ids, decoded): ids as little-endian unsigned 32-bit integers of the whole text.
 
-    `tokenizer` is a name for public_tokenizers.path or a path that every executor can open. No shuffle: each
-    partition streams through one worker. Null text is empty text (no ids); null or repeated identifiers
-    are kept as they are, a row for each row; an empty table gives no rows.
+    `tokenizer` is a name for public_tokenizers.path or a path that every executor can open. Texts of long_chars
+    characters at most aren't shuffled: each partition streams through one worker. Longer ones are cut to chunks
+    that are dealt to tasks; the task that joins a text holds it whole. Null text is empty text (no ids); null
+    or repeated identifiers are kept as they are, a row for each row; an empty table gives no rows. Other
+    columns are neither read nor returned.
     """
     _common.shipped(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("ids", BinaryType()), StructField("decoded", StringType())])
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    is_long = F.char_length("text") > long_chars
 
-    def run(batches):
+    def short(batches):
         bpe = loaded(TreeBpe, tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in slices(texts):
-                ids = bpe.encode([x or "" for x in texts[i:j]])
-                back = [bpe.decode(x) for x in ids] if decode else [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["id", "ids", "decoded"])
+            for i, texts in _common.text_parts(batch, 1):
+                ids = bpe.encode(texts)
+                back = pa.array(map(bpe.decode, ids), pa.string()) if decode else pa.nulls(len(ids), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(ids)), pa.array(ids, pa.binary()), back], schema.names)
+
+    whole = rows.where(~is_long).mapInArrow(short, schema)
+    return whole.unionByName(_encoded_in_chunks(rows.where(is_long), schema, tokenizer, decode, long_chars)).withColumnRenamed("id", id_col)
 
-    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-    schema = StructType([StructField("id", kind), StructField("ids", BinaryType()), StructField("decoded", StringType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+def _encoded_in_chunks(rows: DataFrame, schema: StructType, tokenizer: str, decode: bool, long_chars: int) -> DataFrame:
+    """Long texts: equal rows are encoded once, chunk by chunk in parallel, and joined in order."""
+    key = _common.digest128(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("text"))
+    once = rows.withColumn("key", key).groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    named = [StructField("key", BinaryType()), StructField("at", LongType()), schema["id"], StructField("copies", LongType())]
+    # A chunk begins a part between special tokens or continues it, or else is a special token.
+    chunk = StructType([*named, StructField("first", BooleanType()), StructField("special", BooleanType()), StructField("text", StringType())])
+
+    def cut(batches):
+        bpe = loaded(TreeBpe, tokenizer)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.slice(k, 1).to_pylist()[0]
+                found = []
+                for n, part in enumerate(bpe.cut.split(own["text"])):
+                    found += [(i == 0, n % 2 == 1, part[i : i + long_chars]) for i in range(0, len(part), long_chars)]
+                for i in range(0, len(found), 64):
+                    part = found[i : i + 64]
+                    yield pa.RecordBatch.from_pylist([{"key": own["key"], "at": i + n, "id": own["id"], "copies": own["copies"], "first": f, "special": s, "text": x} for n, (f, s, x) in enumerate(part)], batch_schema(batch, chunk))
+
+    def encode(batches):
+        bpe = loaded(TreeBpe, tokenizer)
+        for batch in batches:
+            special = batch.column(5).to_pylist()
+            for i, texts in _common.text_parts(batch, 6):
+                ids = [bpe.special_id(x) if s else bpe.encode_plain([x])[0] for s, x in zip(special[i:], texts)]
+                rows = batch.slice(i, len(texts))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary())], [*rows.schema.names, "ids"])
+
+    def join(batches):
+        bpe = loaded(TreeBpe, tokenizer)
+        now, done, open_ = None, [], []
+
+        def closed():
+            if open_:
+                done.append(bpe.joined(list(open_))[0].tobytes())
+                open_.clear()
+
+        def row(own, kind):
+            closed()
+            ids = b"".join(done)
+            done.clear()
+            back = bpe.decode(ids) if decode else None
+            for _ in range(own["copies"]):
+                yield pa.RecordBatch.from_arrays([pa.array([own["id"]], kind), pa.array([ids], pa.binary()), pa.array([back], pa.string())], schema.names)
+
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            for k in range(batch.num_rows):
+                own = batch.slice(k, 1).to_pylist()[0]
+                if now is not None and own["key"] != now["key"]:
+                    yield from row(now, kind)
+                if own["first"]:
+                    closed()
+                if own["special"]:
+                    done.append(own["ids"])
+                else:
+                    open_.append((np.frombuffer(own["ids"], dtype=np.uint32), own["text"].encode()))
+                now = {n: own[n] for n in ("key", "id", "copies")}
+        if now is not None:
+            yield from row(now, kind)
+
+    chunks = once.select("key", "id", "text", "copies").mapInArrow(cut, chunk).repartition("key", "at")
+    ids = chunks.mapInArrow(encode, StructType([*chunk.fields, StructField("ids", BinaryType())]))
+    return ids.repartition("key").sortWithinPartitions("key", "at").mapInArrow(join, schema)
+
+
+def batch_schema(batch: pa.RecordBatch, wanted: StructType) -> pa.Schema:
+    """`wanted` in Arrow's types; the identifier keeps the type that it has in the batch."""
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    return pa.schema([(f.name, batch.schema.field("id").type if f.name == "id" else kinds[f.dataType.typeName()]) for f in wanted])
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

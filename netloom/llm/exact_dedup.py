@@ -1,10 +1,10 @@
 """Exact dedup over a log-structured index of text digests; DataFrame operations only.
 
 Rows are split into memtables by a hash of their identifier. A memtable aggregates to one row a digest
-(largest identifier, number of rows) and is flushed as a sorted run with a bitmap filter of fixed size.
-The next memtable asks the filters first; only digests that may be present are joined with the runs.
-Runs are compacted level by level. Digests with several rows are verified on the bytes: their texts are
-grouped by (digest, text), so a hash collision splits into its texts.
+(largest identifier, number of rows), asks the filters of the live runs which of its digests may be known,
+looks up only those in the runs, and is flushed as a sorted run with a filter of its own, sized by its digests.
+Runs are compacted level by level; compaction keeps the largest identifier. Digests with several rows are
+verified on the bytes: their texts are grouped by (digest, text), so a hash collision splits into its texts.
 
 Defined results: null text is empty text; a null identifier is smaller than any other and is returned as
 null; rows repeating an identifier count as rows of their own; an empty table gives no rows; columns of
@@ -21,41 +21,44 @@ from pyspark.sql import functions as F
 from . import _common
 from .lsm import LevelledRuns
 
-#: Bits of a filter: 128 bitmaps of 4 KB at any input size, so it may be broadcast.
-FILTER_BITS = 1 << 22
-
-
 def normalised(text: Column) -> Column:
     return _common.ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-
+class DigestFilter:
+    """A Bloom filter of one hash function over a column: 16 bits for each key, a power of two of them, but
+    BROADCAST_BITS at most, so that its bitmaps (4 KB each) may be broadcast. More keys than it serves well are
+    not filtered at all: flag() then says that all may be there, which is right, if slower."""
 
-def bitmap_filter(keys: DataFrame, column: str) -> DataFrame:
-    """(bucket, bitmap) rows over the keys: a Bloom filter of one hash function, FILTER_BITS large."""
-    at = _slot(F.col(column))
-    return (
-        keys.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit"))
-        .groupBy("_bucket")
-        .agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
-    )
+    BROADCAST_BITS = 1 << 29
 
+    def __init__(self, keys: DataFrame, column: str, path: str, bits: int | None = None):
+        n = keys.count()
+        self.bits = bits or min(self.BROADCAST_BITS, 1 << max(22, (16 * n).bit_length()))
+        self.useful = 2 * n < self.bits
+        self.path, bit = path, self._slot(column)
+        if self.useful:
+            at = keys.select(F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit).alias("_bit"))
+            self.bitmap = _common.written(at.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap")), path)
 
-def flag_maybe(rows: DataFrame, column: str, bitmap: DataFrame, flag: str) -> DataFrame:
-    """Adds whether the filter may hold the key; the filter has a fixed size and is broadcast."""
-    at = _slot(F.col(column))
-    bit = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
-    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket", "left")
-    return joined.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop("_bucket", "_bitmap")
+    def _slot(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
 
+    def flag(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """Adds whether the filter may hold the key."""
+        if not self.useful:
+            return rows.withColumn(name, F.lit(True))
+        own = [_common.free_name(rows, x) for x in ("_bucket", "_bitmap")]
+        bit = F.bitmap_bit_position(self._slot(column))
+        byte = F.conv(F.hex(F.substring(F.col(own[1]), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+        joined = rows.withColumn(own[0], F.bitmap_bucket_number(self._slot(column))).join(F.broadcast(self.bitmap.toDF(*own)), own[0], "left")
+        return joined.withColumn(name, F.coalesce(is_set, F.lit(False))).drop(*own)
 
-def maybe_in(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
-    """The rows whose key the filter doesn't rule out."""
-    return flag_maybe(rows, column, bitmap, "_maybe").where("_maybe").drop("_maybe")
+    def maybe_in(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows whose key the filter doesn't rule out."""
+        name = _common.free_name(rows, "_maybe")
+        return self.flag(rows, column, name).where(name).drop(name)
 
 
 def exact_dedup(
@@ -72,9 +75,10 @@ def exact_dedup(
     as equal digests are verified on the texts.
     """
     spark = docs.sparkSession
+    _common.check_id(docs, id_col)
     where = _common.work_dir(spark)
     norm = normalised(F.col(text_col))
-    texts = docs.select(_common.row_key(id_col).alias("_id"), F.col(id_col).isNull().alias("_no_id"), norm.alias("_norm"), (tag if tag is not None else F.lit(None)).cast("long").alias("_tag"))
+    texts = docs.select(_common.row_key(id_col).alias("_id"), F.col(id_col).isNull().alias("_no_id"), norm.alias("_norm"), (tag if tag is not None else F.lit(None)).cast("binary").alias("_tag"))
     key = digest if digest is not None else F.unhex("_sha")
     rows = _common.written(
         texts.withColumn("_sha", F.sha2("_norm", 256))
@@ -83,29 +87,22 @@ def exact_dedup(
         f"{where}/digests",
     )
 
-    index = LevelledRuns(spark, ["_digest"], {"_keep": F.max("_keep"), "_n": F.sum("_n")})
-    filters: list[DataFrame] = []
-    suspects: list[DataFrame] = []
+    index = LevelledRuns(spark, ["_digest"], {"_keep": F.max("_keep"), "_n": F.sum("_n")}, filtered=True)
+    hits: list[DataFrame] = []
     for i in range(memtables):
         table = rows.where(F.col("_memtable") == i).groupBy("_digest").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
-        earlier = index.live()
-        run = index.add(table)
-        suspects.append(run.where("_n > 1").select("_digest"))
-        if earlier:
-            known = reduce(DataFrame.unionByName, filters).groupBy("_bucket").agg(F.bitmap_or_agg("_bitmap").alias("_bitmap"))
-            probe = maybe_in(run.select("_digest"), "_digest", known)
-            suspects.append(probe.join(reduce(DataFrame.unionByName, [r.select("_digest") for r in earlier]).distinct(), "_digest", "left_semi"))
-        filters.append(_common.written(bitmap_filter(run, "_digest"), f"{where}/filter-{i}"))
-
-    hits = _common.written(
-        rows.join(reduce(DataFrame.unionByName, suspects).distinct(), "_digest", "left_semi").select("_id", "_digest"), f"{where}/hits"
-    )
+        table = _common.written(table, f"{where}/memtable-{i}")
+        again = [table.where("_n > 1").select("_digest"), *(run.probed(table.select("_digest")) for run in index.live())]
+        hits.append(_common.written(reduce(DataFrame.unionByName, again).distinct(), f"{where}/hits-{i}"))
+        index.add(table)
+
+    known = reduce(DataFrame.unionByName, hits).distinct()
+    suspects = _common.written(rows.join(known, "_digest", "left_semi").select("_id", "_digest"), f"{where}/suspects")
     # Byte verification: only rows whose identifier is a hit are read as texts again and normalised.
     raw = docs.select(_common.row_key(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    suspect_ids = _common.written(bitmap_filter(hits, "_id"), f"{where}/hit-filter")
-    again = maybe_in(raw, "_id", suspect_ids).withColumn("_norm", normalised(F.col("_text"))).drop("_text")
+    again = DigestFilter(suspects, "_id", f"{where}/suspect-filter").maybe_in(raw, "_id").withColumn("_norm", normalised(F.col("_text"))).drop("_text")
     again = again.withColumn("_sha", F.sha2("_norm", 256)).withColumn("_digest", key.cast("binary"))
-    exact = again.join(hits.distinct(), ["_id", "_digest"], "left_semi")
+    exact = again.join(suspects.distinct(), ["_id", "_digest"], "left_semi")
     variants = _common.written(
         exact.groupBy("_digest", "_norm").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).withColumn("_sha", F.unhex(F.sha2("_norm", 256))).drop("_norm"),
         f"{where}/variants",

@@ -58,7 +58,7 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
         keys = part.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one")).groupBy("_h1", "_h2").agg(F.max("_id").alias("_owner"), F.count("*").alias("_n"))
         live = runs.live()
         if live:
-            known = reduce(DataFrame.unionByName, [r.select("_h1", "_h2") for r in live]).distinct().withColumn("_known", F.lit(True))
+            known = reduce(DataFrame.unionByName, [r.rows.select("_h1", "_h2") for r in live]).distinct().withColumn("_known", F.lit(True))
             keys = keys.join(known, ["_h1", "_h2"], "left").withColumn("_owner", F.when(F.col("_known").isNull(), F.col("_owner"))).drop("_known")
         runs.add(keys)
 
@@ -70,21 +70,27 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
 def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4
 ) -> DataFrame:
-    """The input with text_col rewritten, and n_lines and n_dropped (long) of each row."""
+    """The input with text_col rewritten, and n_lines and n_dropped (long) of each row.
+
+    Columns of the input named n_lines or n_dropped are replaced; all others stay, whatever their names.
+    """
+    _common.check_id(docs, id_col)
     drops = duplicate_lines(docs, id_col, text_col, min_chars, min_docs, batches)
-    keyed = docs.withColumns({"_id": _common.row_key(id_col), "_text_hash": F.xxhash64(text_col)})
+    own = {n: _common.free_name(docs, n) for n in ("_id", "_text_hash", "_drop", "_lines")}
+    keyed = docs.withColumns({own["_id"]: _common.row_key(id_col), own["_text_hash"]: F.xxhash64(text_col)})
     # The drop lists are the small side of each partition; the texts are neither sorted nor broadcast.
-    found = keyed.join(drops.hint("shuffle_hash"), ["_id", "_text_hash"], "left")
-    lines = F.col("_lines")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop")), lambda i: F.get(lines, i))
+    drops = drops.select(*(F.col(n).alias(own[n]) for n in ("_id", "_text_hash", "_drop")))
+    found = keyed.join(drops.hint("shuffle_hash"), [own["_id"], own["_text_hash"]], "left")
+    lines, drop = F.col(own["_lines"]), F.col(own["_drop"])
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
     return (
-        found.withColumn("_lines", _lines(F.col(text_col)))
+        found.withColumn(own["_lines"], _lines(F.col(text_col)))
         .withColumns({
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"),
-            text_col: F.when(F.col("_drop").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join(left, "\n")),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dropped": F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long"),
+            text_col: F.when(drop.isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join(left, "\n")),
         })
-        .drop("_id", "_text_hash", "_lines", "_drop")
+        .drop(*own.values())
     )
 
 

@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from . import _common
-from .bpe import slices
 from .language_id import fold
 
 FILTER_BYTES, LOAD, HASHES = 1 << 26, 0.35, 3
@@ -142,6 +141,7 @@ def _counted(docs: DataFrame, text_col: str, seed: int) -> DataFrame:
     """Partial counts: word rows (word, key, n) and pair rows (key, n)."""
 
     def run(batches):
+        _common.worker_memory("lm_score")
         hash_of, known = _hasher(seed), {}
         keys: list[np.ndarray] = []
         words: dict[bytes, int] = {}
@@ -159,10 +159,9 @@ def _counted(docs: DataFrame, text_col: str, seed: int) -> DataFrame:
             words.clear()
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in slices(texts):
+            for _, texts in _common.text_parts(batch, 0):
                 every: list[bytes] = []
-                for x in texts[i:j]:
+                for x in texts:
                     every += tokens(x)
                 if len(known) > 600_000:
                     known = {w: known[w] for w in words}
@@ -234,6 +233,8 @@ def train(docs: DataFrame, text_col: str = "text"):
         model = _common.written(dealt.mapInArrow(_build, built), f"{_common.work_dir(spark)}/model")
         if model.where("clash").isEmpty():
             break
+    else:
+        raise RuntimeError("lm_score: two words share a hash under each of 8 seeds")
     words = model.where("block is null").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     return words, total, distinct, model.where("block is not null").select("block", "bits"), seed
@@ -265,6 +266,7 @@ def _pass(docs: DataFrame, text_col: str, exact, filt, total: int, distinct: int
     keep = [f for f in docs.schema.fields if f.name not in names and not (last and f.name == text_col)]
 
     def run(batches):
+        _common.worker_memory("lm_score")
         hash_of = _hasher(seed)
         hashes, counts, low, high = exact.value
         held = LogFilter(*filt.value) if filt is not None else None
@@ -287,10 +289,10 @@ def _pass(docs: DataFrame, text_col: str, exact, filt, total: int, distinct: int
 
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name))
-            texts = column(text_col).to_pylist()
             rest = [column(f.name) for f in keep]
-            for i, j in slices(texts):
-                lists = [tokens(x) for x in texts[i:j]]
+            for i, texts in _common.text_parts(batch, text_col):
+                j = i + len(texts)
+                lists = [tokens(x) for x in texts]
                 if len(known) > 600_000:
                     known.clear()
                     for x in (h_of, c_of, own_of, uni_of):

@@ -2,7 +2,7 @@
 
 A document's set is its distinct word shingles. Equal sets are one vertex. Every vertex is branched down
 TREES independent trees: at each node it goes to the child named by the token of its set that is least under
-the node's own minwise function (the two topmost levels make one key, by which Spark deals the vertices to
+the node's own minwise function (the topmost levels make one key, by which Spark deals the vertices to
 tasks). Nodes of at most SMALL vertices are compared exhaustively on two-bit sketches of all minwise values;
 larger ones branch on, and at the deepest level the vertices of a node are compared with pivots. A node with
 few similar pairs reports all of them; a dense one reports a spanning forest and its members. All reported
@@ -12,12 +12,17 @@ second one all that are left. Those of the second round pass a test on the PREFI
 sets before they leave their node, else a node of texts slightly below the similarity would list all its pairs.
 All are confirmed as well: what isn't looked at are pairs inside one component, whose links change no result.
 
+Hot keys: a key of more than HOT vertices is dealt by all levels instead; a node that is still larger is split
+into blocks of about HOT vertices, and every pair of blocks is a node of its own. So a task holds 2 * HOT members
+of a node at a time, and no pair is lost. The work on such a node is quadratic in its distinct sets.
+
 Recall: a pair of similarity s is in a common node of depth d with probability s^d for each tree, so a pair
 at 0.8 is missed in 16 trees with (1 - 0.64)^16 = 8e-8 at depth 2, 2e-4 at depth 4, but 5e-2 at depth 8. The
 deepest level is the last at which a pair of the least similarity is missed with MISSED at most, whatever the
-size of the nodes (depth 4 at 0.8); what a node has beyond costs time, not pairs. The sketch comparison
-loses a pair at 0.8 with a probability of about 1e-6; the prefix test loses none of sets that fit the prefix, and
-one of longer sets where the estimate is six deviations too low.
+size of the nodes (depth 4 at 0.8, 1 at 0.5; below 0.36 none, and such a similarity is refused); what a node has
+beyond costs time, not pairs. The sketch comparison asks for the agreements expected at the least similarity
+less 4.66 deviations, which loses a pair at that similarity with a probability of about 1e-6; the prefix test
+loses none of sets that fit the prefix, and one of longer sets where the estimate is six deviations too low (1e-9).
 
 Defined results: null and blank texts have an empty set, are linked with nothing and stay; a null identifier
 is smaller than any other and is returned as null; rows repeating an identifier are rows of their own; an
@@ -27,25 +32,25 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from netloom.operators.components import components
 
 from . import _common
-from .bpe import slices
-from .exact_dedup import bitmap_filter, maybe_in
+from .exact_dedup import DigestFilter
 
 TREES, LEVELS, SMALL = 16, 8, 256
 FUNCTIONS = TREES * LEVELS
 #: Share of the pairs of the least similarity that branching may miss.
 MISSED = 1e-3
-#: Two-bit agreements of FUNCTIONS that a pair needs; at similarity 0.8 108.8 are expected, deviation 4.
-AGREE = 90
+#: Vertices of a key from which on it is split.
+HOT = 4096
 #: Shingle hashes of each vertex that the second round has in a node: 8 KB at most.
 PREFIX = 1024
 
@@ -110,6 +115,20 @@ def two_bits(mins: np.ndarray) -> np.ndarray:
     return out
 
 
+def depths(percent: int) -> tuple[int, int]:
+    """Levels of the key, and the deepest level whose recall is enough."""
+    enough = [d for d in range(1, LEVELS + 1) if (1 - (percent / 100) ** d) ** TREES <= MISSED]
+    if not enough:
+        raise ValueError(f"near_dedup: {TREES} trees don't find pairs of {percent} % surely enough")
+    return min(2, max(enough)), max(enough)
+
+
+def least_agreement(percent: int) -> int:
+    """Two-bit agreements of FUNCTIONS that a pair needs; at 80 % 108.8 are expected, with a deviation of 4."""
+    q = 0.25 + 0.75 * percent / 100
+    return math.ceil(FUNCTIONS * q - 4.66 * math.sqrt(FUNCTIONS * q * (1 - q)))
+
+
 def similar(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Which rows of a and b agree on enough sketch bits and have sizes that allow the similarity."""
     return agreement(a, na, b, nb, percent) > 0
@@ -122,11 +141,18 @@ def agreement(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, perc
         x = a[:, w, None] ^ b[None, :, w]
         agree -= np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).astype(np.int16)
     low, high = np.minimum(na[:, None], nb[None, :]), np.maximum(na[:, None], nb[None, :])
-    return np.where((agree >= AGREE) & (100 * low >= percent * high), agree, 0)
+    return np.where((agree >= least_agreement(percent)) & (100 * low >= percent * high), agree, 0)
 
 
-def _node_key(tree: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _mix(_mix(first.astype(np.uint64) * _M1 + np.uint64(tree)) + second.astype(np.uint64)).view(np.int64)
+def node_keys(mins: np.ndarray, top: int) -> np.ndarray:
+    """The key of each tree: a hash of the tree and its `top` first tokens."""
+    out = np.empty((len(mins), TREES), dtype=np.int64)
+    for t in range(TREES):
+        key = np.full(len(mins), t, dtype=np.uint64)
+        for k in range(top):
+            key = _mix(key * _M1 + mins[:, t * LEVELS + k].astype(np.uint64) + np.uint64(1))
+        out[:, t] = key.view(np.int64)
+    return out
 
 
 class Node:
@@ -134,12 +160,12 @@ class Node:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.deepest = max((d for d in range(2, LEVELS + 1) if (1 - (percent / 100) ** d) ** TREES <= MISSED), default=2)
+        self.deepest = depths(percent)[1]
         self.pairs: list[tuple[bytes, bytes]] = []
         self.members: list[tuple[int, bytes, int, bytes]] = []
 
-    def split(self, key: int, ids: list[bytes], n: np.ndarray, tokens: np.ndarray, bits: np.ndarray) -> None:
-        todo = [(np.arange(len(ids)), 2, key)]
+    def split(self, key: int, depth: int, ids: list[bytes], n: np.ndarray, tokens: np.ndarray, bits: np.ndarray) -> None:
+        todo = [(np.arange(len(ids)), depth, key)]
         while todo:
             at, depth, name = todo.pop()
             if len(at) < 2:
@@ -217,46 +243,63 @@ def _runs(batches):
         yield pa.Table.from_batches(held)
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, tag: Column | None) -> DataFrame:
+def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, tag: Column | None) -> DataFrame:
+    """Of every row the size of its set, and of those that have one its digest, minima, sketch and keys."""
+    top = depths(percent)[0]
+
     def run(batches):
+        _common.worker_memory("near_dedup")
         words = Words()
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for i, j in slices(texts, 1_000_000):
-                sets = [shingles(x, width, words) for x in texts[i:j]]
+            for i, texts in _common.text_parts(batch, 3, 1_000_000):
+                sets = [shingles(x, width, words) for x in texts]
                 full = [s for s in sets if len(s)]
-                mins = iter(minwise(full) if full else ())
+                mins = minwise(full) if full else np.empty((0, FUNCTIONS), dtype=np.uint32)
+                own, bits, keys = iter(mins), iter(two_bits(mins)), iter(node_keys(mins, top))
+                of = lambda rows: pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(i, j - i),
-                        batch.column(1).slice(i, j - i),
-                        batch.column(2).slice(i, j - i),
+                        *(batch.column(k).slice(i, len(texts)) for k in range(3)),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([next(mins).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        of(own),
+                        of(bits),
+                        pa.array([next(keys).tolist() if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["_id", "_no_id", "_tag", "_size", "_set", "_mins"],
+                    names,
                 )
 
-    schema = StructType([StructField("_id", LongType()), StructField("_no_id", BooleanType()), StructField("_tag", LongType()), StructField("_size", IntegerType()), StructField("_set", BinaryType()), StructField("_mins", BinaryType())])
-    return docs.select(_common.row_key(id_col).alias("_id"), F.col(id_col).isNull().alias("_no_id"), (tag if tag is not None else F.lit(None)).cast("long").alias("_tag"), text_col).mapInArrow(run, schema)
-
-
-def _branched(vertices: DataFrame, percent: int) -> DataFrame:
+    fields = [("_id", LongType()), ("_no_id", BooleanType()), ("_tag", BinaryType()), ("_size", IntegerType()), ("_set", BinaryType()), ("_mins", BinaryType()), ("_bits", BinaryType()), ("_keys", ArrayType(LongType()))]
+    names = [n for n, _ in fields]
+    own = (tag if tag is not None else F.lit(None)).cast("binary").alias("_tag")
+    rows = docs.select(_common.row_key(id_col).alias("_id"), F.col(id_col).isNull().alias("_no_id"), own, text_col)
+    return rows.mapInArrow(run, StructType([StructField(n, t) for n, t in fields]))
+
+
+def _dealt(vertices: DataFrame, percent: int, where: str) -> DataFrame:
+    """(key, depth, id, n, tokens, bits) of every vertex in every tree; hot keys split as the module says."""
+    top, deepest = depths(percent)
+    tree = vertices.select("_set", "_size", "_mins", "_bits", F.posexplode("_keys").alias("_tree", "key"))
+    tokens = F.substring("_mins", F.col("_tree") * (4 * LEVELS) + 1, F.lit(4 * LEVELS))
+    rows = tree.select("key", F.lit(top).alias("depth"), F.col("_set").alias("id"), F.col("_size").alias("n"), tokens.alias("tokens"), F.col("_bits").alias("bits"))
+    sizes = vertices.select(F.explode("_keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT)
+    hot = _common.written(sizes.select("key"), f"{where}/hot")
+    if hot.isEmpty():
+        return rows
+    further = F.xxhash64("key", F.substring("tokens", 4 * top + 1, 4 * (deepest - top)))
+    deep = _common.written(rows.join(hot, "key", "left_semi").withColumns({"key": further, "depth": F.lit(deepest)}), f"{where}/deep")
+    blocks = deep.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key", F.ceil(F.col("rows") / HOT).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    both = deep.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")))
+    return rows.join(hot, "key", "left_anti").unionByName(both.withColumn("key", named).select(*rows.columns))
+
+
+def _branched(dealt: DataFrame, percent: int) -> DataFrame:
     """Similar pairs and members of dense nodes over all trees."""
 
-    def down(batches):
-        for batch in batches:
-            ids, n = batch.column(0), batch.column(1)
-            mins = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, FUNCTIONS)
-            bits = two_bits(mins)
-            rows = [x.tobytes() for x in bits]
-            for t in range(TREES if len(mins) else 0):
-                own = np.ascontiguousarray(mins[:, t * LEVELS : (t + 1) * LEVELS])
-                key = _node_key(t, own[:, 0], own[:, 1])
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids, n, pa.array([x.tobytes() for x in own], pa.binary()), pa.array(rows, pa.binary())], ["key", "id", "n", "tokens", "bits"])
-
-    def up(batches):
+    def run(batches):
+        _common.worker_memory("near_dedup")
         node = Node(percent)
         for table in _runs(batches):
             key = table.column(0).to_numpy()
@@ -265,18 +308,17 @@ def _branched(vertices: DataFrame, percent: int) -> DataFrame:
             if not shared.any():
                 continue
             table, key = table.filter(pa.array(shared)), key[shared]
-            ids = table.column(1).to_pylist()
-            n = table.column(2).to_numpy()
-            tokens = np.frombuffer(b"".join(table.column(3).to_pylist()), dtype=np.uint32).reshape(-1, LEVELS)
-            bits = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+            depth = table.column(1).to_numpy()
+            ids = table.column(2).to_pylist()
+            n = table.column(3).to_numpy()
+            tokens = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint32).reshape(-1, LEVELS)
+            bits = np.frombuffer(b"".join(table.column(5).to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             for x, y in zip(cuts, cuts[1:]):
-                node.split(int(key[x]), ids[x:y], n[x:y], tokens[x:y], bits[x:y])
+                node.split(int(key[x]), int(depth[x]), ids[x:y], n[x:y], tokens[x:y], bits[x:y])
             yield node.rows()
 
-    dealt = StructType([StructField("key", LongType()), StructField("id", BinaryType()), StructField("n", IntegerType()), StructField("tokens", BinaryType()), StructField("bits", BinaryType())])
-    rows = vertices.select("_set", "_size", "_mins").mapInArrow(down, dealt)
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(up, _FOUND)
+    return dealt.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, _FOUND)
 
 
 class Prefixes:
@@ -365,20 +407,20 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, vertices
     """(_vertex, _full) of the vertices in pairs, from the texts of their least documents."""
     wanted = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
     ids = vertices.join(wanted, "_set", "left_semi").select("_id")
-    bitmap = _common.written(bitmap_filter(ids, "_id"), path)
+    filtered = DigestFilter(_common.written(ids, f"{path}-ids"), "_id", path)
 
     def run(batches):
+        _common.worker_memory("near_dedup")
         words = Words()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in slices(texts, 1_000_000):
-                full = [s.tobytes() for s in (shingles(x, width, words) for x in texts[i:j])]
+            for _, texts in _common.text_parts(batch, 1, 1_000_000):
+                full = [s.tobytes() for s in (shingles(x, width, words) for x in texts)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in full], pa.binary()), pa.array(full, pa.binary())], ["_vertex", "_full"]
                 )
 
     schema = StructType([StructField("_vertex", BinaryType()), StructField("_full", BinaryType())])
-    rows = maybe_in(docs.select(_common.row_key(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", bitmap)
+    rows = filtered.maybe_in(docs.select(_common.row_key(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id")
     # Written, so that both sides of the joins by vertex are shuffled for them and hot vertices can be split.
     return _common.written(rows.select("_id", "_text").mapInArrow(run, schema).dropDuplicates(["_vertex"]), f"{path}-sets")
 
@@ -411,14 +453,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     _common.shipped(spark)
     where = _common.work_dir(spark)
-    rows = _common.written(_sketches(docs, id_col, text_col, width, tag), f"{where}/sketches")
+    _common.check_id(docs, id_col)
+    rows = _common.written(_sketches(docs, id_col, text_col, width, percent, tag), f"{where}/sketches")
     sets = rows.where(F.col("_set").isNotNull())
     # The least identifier names the vertex; the partial minimum collapses large groups before the shuffle.
-    least = sets.groupBy("_set").agg(F.min(F.struct("_id", "_size", "_mins")).alias("_v"))
+    least = sets.groupBy("_set").agg(F.min(F.struct("_id", "_size", "_mins", "_bits", "_keys")).alias("_v"))
     ones = _common.written(least.select("_set", "_v.*"), f"{where}/vertices")
     vertices = ones.select("_set", "_id")
 
-    found = _common.written(_branched(ones, percent), f"{where}/found")
+    found = _common.written(_branched(_dealt(ones, percent, where), percent), f"{where}/found")
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = _common.written(pair(found.where(F.col("b").isNotNull())), f"{where}/pairs")
     full = _full_sets(docs, id_col, text_col, width, vertices, tested, f"{where}/wanted")

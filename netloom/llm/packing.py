@@ -13,6 +13,8 @@ the buffer and the longest document.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,11 +32,23 @@ END_ID = 2
 
 class WordTokens(bpe.WordCache):
     """A lower-case vocabulary that drops white space: blanks and line feeds separate words that don't affect
-    each other, and a full stop or comma after a letter or digit begins a part of its own."""
+    each other, and a full stop or comma after a letter or digit begins a part of its own. The library looks
+    for special tokens before it lower-cases, so texts that hold one in any case go to it whole."""
+
+    def __init__(self, name: str):
+        super().__init__(name)
+        self.odd = re.compile("|".join(map(re.escape, self.special)) or "(?!)", re.IGNORECASE)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        texts = [x.lower() if x.isascii() else x for x in texts]
-        return self.encode_words([bpe.END_MARK.sub(r" \1", x.replace("\n", " ")).split(" ") for x in texts])
+        whole = [k for k, x in enumerate(texts) if self.odd.search(x)]
+        usual = sorted(set(range(len(texts))).difference(whole))
+        out = [b""] * len(texts)
+        plain = [texts[k].lower() if texts[k].isascii() else texts[k] for k in usual]
+        for k, ids in zip(usual, self.encode_words([bpe.END_MARK.sub(r" \1", x.replace("\n", " ")).split(" ") for x in plain])):
+            out[k] = ids
+        for k, ids in zip(whole, self.encode_whole([texts[k] for k in whole])):
+            out[k] = ids
+        return out
 
 
 def cost(n):
@@ -133,7 +147,8 @@ def pack_documents(
 
     ids are little-endian unsigned 32-bit integers. `capacity` is a power of two. Null text is empty text:
     one piece of the end token; null or repeated identifiers are kept, each row is a document of its own;
-    an empty table gives no rows.
+    documents of equal size stand in the order of the input; an empty table gives no rows. Other columns are
+    neither read nor returned.
     """
     _common.shipped(docs.sparkSession)
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -151,9 +166,9 @@ def pack_documents(
 
         for batch in batches:
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in bpe.slices(texts):
-                for identifier, x in zip(ids[i:j], words.encode([x or "" for x in texts[i:j]])):
+            for i, texts in _common.text_parts(batch, 1):
+                ids = batch.column(0).slice(i, len(texts)).to_pylist()
+                for identifier, x in zip(ids, words.encode([x or "" for x in texts])):
                     packer.add(identifier, x + end)
                 yield rows()
         if kinds:

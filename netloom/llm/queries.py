@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
-    "op7_language_id": language_id.op7_language_id,
     "op3_chat_format": chat_format.OP3_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }

@@ -8,22 +8,23 @@ braces around the candidate, with all it holds, or else what blank lines and the
 identifier needs a secret, a bare key needs an identifier, an endpoint needs both. Weak candidates inside a
 base match add nothing, and an identifier's own value is not its key.
 
-Each row is scanned on its own, without a shuffle. Null text is empty text; null or repeated identifiers are
-kept, a row for each row; an empty table gives no rows.
+Each row is scanned on its own, without a shuffle; only the text goes through Python. Null text has no spans
+and stays null; null or repeated identifiers are kept, a row for each row; an empty table gives no rows;
+columns of any name are left alone.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import _common
-from .bpe import slices
 
 SCOPE = 300
 #: The base patterns, in the order of their kinds.
@@ -128,31 +129,47 @@ def redacted(text: str, found: list[Span], by: str = "[SECRET]") -> str:
     return "".join(out) + text[at:]
 
 
-_SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
+_FOUND = StructType(
+    [
+        StructField("spans", ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))),
+        StructField("redacted", StringType()),
+    ]
+)
+
+
+def secrets(text: Column) -> Column:
+    """Struct of spans (array of kind, start, end in code points, end exclusive) and redacted (the text without
+    them; null where it has none)."""
+    kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+    @F.arrow_udf(_FOUND)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _common.worker_memory("secret_scan")
+        for batch in batches:
+            told, clean = [], []
+            for _, texts in _common.text_parts(pa.RecordBatch.from_arrays([batch], ["text"]), 0):
+                for x in texts:
+                    found = spans(x)
+                    told.append([{"kind": KINDS[k], "start": s, "end": e} for s, e, k in found])
+                    clean.append(redacted(x, found) if found else None)
+            yield pa.StructArray.from_arrays([pa.array(told, pa.list_(kind)), pa.array(clean, pa.string())], ["spans", "redacted"])
+
+    return run(text)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """identifier, spans (array of kind, start, end in code points, end exclusive), redacted text."""
-    out = with_secrets(docs.select(id_col, text_col), text_col)
-    return out.select(id_col, F.col("_spans").alias("spans"), F.col("_redacted").alias("redacted"))
+    _common.shipped(docs.sparkSession)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = own.withColumn("found", secrets(F.col("text")))
+    return out.select(F.col("id").alias(id_col), F.col("found.spans").alias("spans"), F.coalesce("found.redacted", "text").alias("redacted"))
 
 
-def with_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs with _spans and _redacted."""
+def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, secrets in the texts replaced; all other columns are as they were."""
     _common.shipped(docs.sparkSession)
-    arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            for i, j in slices(texts):
-                found = [spans(x) for x in texts[i:j]]
-                clean = [redacted(x, f) if f else x for x, f in zip(texts[i:j], found)]
-                told = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in f] for f in found]
-                rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(told, arrow), pa.array(clean, pa.string())], [*rows.schema.names, "_spans", "_redacted"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_spans", _SPANS), StructField("_redacted", StringType())]))
+    name = _common.free_name(docs, "_found")
+    return docs.withColumn(name, secrets(F.col(text_col))).withColumn(text_col, F.coalesce(F.col(name)["redacted"], F.col(text_col))).drop(name)
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
