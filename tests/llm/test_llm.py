@@ -155,19 +155,6 @@ def test_chat_round_trip(spark):
     assert got[None]["turns_sha256"] == hashlib.sha256(b"\n<\\|x\n").hexdigest()
 
 
-def test_neighbours_recall(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 16))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16)]
-    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), queries=F.col("_id") % 20 == 0).toPandas()
-    hit = 0
-    for q in range(0, 400, 20):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        d[q] = np.inf
-        hit += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
-    assert hit / 200 >= 0.9 and got.vec_id.max() < 400
-
-
 @pytest.mark.parametrize("size", [40, 400, 3000])
 def test_prefixes_keep_every_similar_pair(size):
     rng = np.random.default_rng(size)
