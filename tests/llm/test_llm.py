@@ -53,32 +53,6 @@ def test_near_dedup(spark):
     assert got[12] == (12, 49, True) and got[13] == (13, 0, True) and got[14] == (14, 0, True) and got[None] == (None, 1, True)
 
 
-def test_tree_bpe_equals_the_library():
-    tree, rnd = bpe.TreeBpe("byte_bpe_50k.json"), random.Random(3)
-    parts = ["a", "'s", "'ll", "'", " ", "  ", "\n", "\t", "12", "!", "é", "漢", "😀", "<|endoftext|>", "\x1c", " ", "the", ". ", ",\n", "="]
-    for _ in range(1500):
-        x = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 80)))
-        tree.leaf_chars = rnd.randint(1, 30)
-        ids = tree.encode([x])
-        assert ids == tree.encode_whole([x]) and tree.decode(ids[0]) == x
-
-
-def test_word_tokens_equal_the_library():
-    words, rnd = packing.WordTokens("word_bpe_49k.json"), random.Random(4)
-    parts = ["A", "é", "'s", "'", " ", "\n", "\t", "²", "_. ", "1", ". ", ", ", ".", "!", "<|endoftext|>"]
-    for _ in range(1000):
-        x = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60)))
-        assert words.encode([x]) == words.encode_whole([x])
-
-
-def test_packing_holds_every_id_once(docs):
-    got = packing.pack_documents(docs).toPandas()
-    assert got.length.sum() == got.drop_duplicates(["doc_id", "doc_tokens", "start", "sequence_id", "offset"]).length.sum()
-    sizes = got.groupby("sequence_id").length.sum()
-    assert all(n == 4096 or n & (n - 1) == 0 for n in sizes)
-    assert got[got.doc_id == 1].length.tolist() == [1]
-
-
 def test_language_id():
     en, de = ["the cat sat on the mat and then it ran"] * 30, ["der hund und die katze sind nicht im haus"] * 30
     model = language_id.train(en + de, ["en"] * 30 + ["de"] * 30)
