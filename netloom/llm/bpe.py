@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, Str
 from . import _common
 
 #: Words of a generation; a Python worker remembers two of them. Characters of the longest such word.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: A full stop or comma at a word's end: between a letter or digit and punctuation a new part always begins.
 END_MARK = re.compile(r"([.,])(?=[ \n])(?<=[^\W_][.,])")
 #: White space and the word after it, up to a mark.

@@ -75,7 +75,7 @@ class Words:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known = self.known = {}
         for w in set(words).difference(known):
             known[w] = self.hash(w)
