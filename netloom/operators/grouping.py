@@ -28,6 +28,12 @@ def pairs(features: DataFrame, bucket: list[str], similarity=S.composite) -> Dat
     return both.select(*bucket, a["path_id"].alias("a"), b["path_id"].alias("b"), F.round(similarity(a, b), 6).alias("similarity"), far.alias("start_distance"))
 
 
+def mean_of_sixths(similarity: Column) -> Column:
+    """Mean of values of six places, rounded half up to four in whole numbers: no order of adding changes it."""
+    total, n = F.sum(F.round(similarity * 1_000_000).cast("long")), F.count(similarity)
+    return F.floor((2 * total + 100 * n) / (200 * n).cast("decimal(20,0)")).cast("long") / 10_000
+
+
 def groups(features: DataFrame, bucket: list[str], least: float = SIMILAR, spread: float = START_SPREAD, size: int = LEAST_SIZE) -> tuple[DataFrame, DataFrame]:
     """(groups, members): single linkage over pairs of at least `least`; groups whose starts lie too far
     apart are dropped whole. group_id orders by paths, mean similarity (of all pairs) and bucket."""
@@ -37,7 +43,7 @@ def groups(features: DataFrame, bucket: list[str], least: float = SIMILAR, sprea
     a, b = (label.select(F.col("vertex").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
     inside = scored.join(a, "a").join(b, "b").where("_a = _b")
     stats = inside.groupBy(*bucket, F.col("_a").alias("component")).agg(
-        F.round(F.avg("similarity"), 4).alias("avg_similarity"), F.round(F.max("start_distance"), 3).alias("max_start_xy_dist")
+        mean_of_sixths(F.col("similarity")).alias("avg_similarity"), F.round(F.max("start_distance"), 3).alias("max_start_xy_dist")
     )
     counts = label.groupBy("component").agg(F.count("*").alias("path_count"))
     found = stats.join(counts, "component").where((F.col("path_count") >= size) & (F.col("max_start_xy_dist") <= spread))

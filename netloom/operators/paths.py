@@ -14,32 +14,30 @@ def coded(steps: DataFrame, **variant) -> DataFrame:
     return steps.withColumns({"len": G.length3(*d), "code": G.segment_code(*d, **variant)})
 
 
-def step_arrays(steps: DataFrame) -> DataFrame:
-    """path_id, steps: array<struct<dx, dy, dz, len, code>> in order; one shuffle on path_id."""
-    rows = coded(steps).groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("seq", "dx", "dy", "dz", "len", "code"))).alias("steps"))
-    return rows.withColumn("steps", F.transform("steps", lambda s: F.struct(s["dx"], s["dy"], s["dz"], s["len"], s["code"])))
-
-
-def _points(steps: Column, x: Column, y: Column, z: Column) -> Column:
-    """Start and the prefix sums of the steps, as array<struct<x, y, z>>."""
-    point = lambda a, b, c: F.struct(a.alias("x"), b.alias("y"), c.alias("z"))
-    start = F.array(point(x, y, z))
-    return F.aggregate(steps, start, lambda done, s: F.concat(done, F.array(point(F.element_at(done, -1)["x"] + s["dx"], F.element_at(done, -1)["y"] + s["dy"], F.element_at(done, -1)["z"] + s["dz"]))))
-
-
 def features(steps: DataFrame, paths: DataFrame) -> DataFrame:
-    """paths with steps, points, arrow, length, box, range and spread; paths without steps are dropped."""
-    rows = paths.join(step_arrays(steps), "path_id").withColumn("points", _points(F.col("steps"), F.col("sx"), F.col("sy"), F.col("sz")))
-    codes = F.filter(F.transform("steps", lambda s: s["code"]), lambda c: c.isNotNull())
-    at = lambda c, how: how(F.transform("points", lambda p: p[c]))
-    rows = rows.withColumns({
-        "arrow": F.array_join(codes, ""),
-        "length": F.aggregate("steps", F.lit(0.0), lambda t, s: t + s["len"]),
-        **{f"{c}_min": at(c, F.array_min) for c in "xyz"},
-        **{f"{c}_max": at(c, F.array_max) for c in "xyz"},
+    """paths with steps, points, arrow, length, box, range and spread; paths without steps are dropped.
+
+    Running sums come from a window on the path, and the grouping on the path uses its partitioning, so steps
+    are shuffled once.
+    """
+    by = Window.partitionBy("path_id").orderBy("seq")
+    sums = {f"c{c}": F.sum(f"d{c}").over(by.rowsBetween(Window.unboundedPreceding, 0)) for c in "xyz"}
+    rows = coded(steps).withColumns(sums)
+    entry = F.struct("seq", "dx", "dy", "dz", "len", "code", "cx", "cy", "cz")
+    ends = {f"{n}_{c}": f(f"c{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))}
+    one = rows.groupBy("path_id").agg(F.array_sort(F.collect_list(entry)).alias("_s"), F.sum("len").alias("length"), *(v.alias(k) for k, v in ends.items()))
+    out = paths.join(one, "path_id")
+    start = [F.col(f"s{c}") for c in "xyz"]
+    point = lambda v: F.struct(*(x.alias(c) for c, x in zip("xyz", v)))
+    low, high = ({c: F.col(f"s{c}") + how(F.lit(0.0), f"{n}_{c}") for c in "xyz"} for n, how in (("low", F.least), ("high", F.greatest)))
+    out = out.withColumns({
+        "steps": F.transform("_s", lambda s: F.struct(s["dx"], s["dy"], s["dz"], s["len"], s["code"])),
+        "points": F.concat(F.array(point(start)), F.transform("_s", lambda s: point([a + s[f"c{c}"] for a, c in zip(start, "xyz")]))),
+        "arrow": F.array_join(F.transform("_s", lambda s: s["code"]), ""),
+        **{f"{c}_{n}": side[c] for c in "xyz" for n, side in (("min", low), ("max", high))},
     })
     span = F.struct(*((F.col(f"{c}_max") - F.col(f"{c}_min")).alias(c) for c in "xyz"))
-    return rows.withColumns({"range": span, "xy_spread": diameter(F.col("points"))})
+    return out.withColumns({"range": span, "xy_spread": diameter(F.col("points"))}).drop("_s", *ends)
 
 
 def diameter(points: Column) -> Column:
@@ -84,14 +82,12 @@ def collapsed(rows: DataFrame, key: str, order: list[str], code: str) -> DataFra
 def level_of(rows: DataFrame, levels: DataFrame, z: str, order: str, none: str = "UNKNOWN") -> DataFrame:
     """Adds level and z_min of the first level (by `order`) whose closed interval holds z.
 
-    Levels are the storeys of a building; their table is collected into one row only if it is small.
+    Levels are the storeys of a building: a table of more than 10,000 is refused.
     """
     most = 10_000
     found = levels.select(order, "level", "z_min", "z_max").limit(most + 1).collect()
-    if len(found) > most:  # a join on the level's interval, reduced to the first match
-        joined = rows.withColumn("_row", F.struct(*rows.columns)).join(levels.select(F.col(order).alias("_o"), F.col("level").alias("_l"), F.col("z_min").alias("_a"), F.col("z_max").alias("_b")), (F.col(z) >= F.col("_a")) & (F.col(z) <= F.col("_b")), "left")
-        first = joined.groupBy("_row").agg(F.min(F.struct("_o", "_l", "_a")).alias("_m"))
-        return first.select("_row.*", F.coalesce("_m._l", F.lit(none)).alias("level"), F.col("_m._a").alias("z_min"))
+    if len(found) > most:
+        raise ValueError(f"level_of: more than {most} levels")
     level, floor = F.lit(none), F.lit(None).cast("double")
     for r in sorted(found, key=lambda r: r[order], reverse=True):
         inside = (F.col(z) >= r["z_min"]) & (F.col(z) <= r["z_max"])

@@ -198,7 +198,7 @@ ORACLE_SQL = {
       lk AS (SELECT a, b FROM sim WHERE similarity >= .7 UNION ALL SELECT b, a FROM sim WHERE similarity >= .7),
       reach AS (SELECT DISTINCT a AS v, a AS r FROM lk UNION SELECT reach.v, lk.b FROM reach JOIN lk ON lk.a = reach.r),
       comp AS (SELECT v, min(r) AS component FROM reach GROUP BY v),
-      st AS (SELECT s.equipment, x.component, round(avg(similarity), 4) AS avg_similarity, round(max(far), 3) AS max_start_xy_dist
+      st AS (SELECT s.equipment, x.component, CAST((2 * sum(CAST(round(similarity * 1000000) AS BIGINT)) + 100 * count(*)) // (200 * count(*)) AS BIGINT) / 10000::DOUBLE AS avg_similarity, round(max(far), 3) AS max_start_xy_dist
         FROM sim s JOIN comp x ON x.v = s.a JOIN comp y ON y.v = s.b AND y.component = x.component GROUP BY 1, 2),
       n AS (SELECT component, count(*) AS path_count FROM comp GROUP BY 1)
       SELECT row_number() OVER (ORDER BY path_count DESC, avg_similarity DESC, equipment, st.component) AS group_id, equipment, st.component, path_count, avg_similarity, max_start_xy_dist
