@@ -90,3 +90,34 @@ def zones(points: DataFrame, trunk: DataFrame, group: str, tolerance: float = Z_
     )
     box = [f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
     return rows.groupBy(group, zone.alias("zone"), "trunk_z", "is_trunk_estimated").agg(*box, F.count("*").alias("node_count"))
+
+
+def groups_v1(features: DataFrame, bucket: list[str], least: float = SIMILAR, spread: float = START_SPREAD, size: int = LEAST_SIZE) -> DataFrame:
+    """Groups by the first version's similarity, unnumbered: bucket, component, path_count, avg_similarity,
+    max_start_xy_dist and spacing (the mean start distance of all its pairs)."""
+    scored = written(pairs(features, bucket, S.composite_v1), f"{work_dir(features.sparkSession)}/pairs")
+    label = components(scored.where(F.col("similarity") >= least).select("a", "b"))
+    a, b = (label.select(F.col("vertex").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
+    inside = scored.join(a, "a").join(b, "b").where("_a = _b")
+    stats = inside.groupBy(*bucket, F.col("_a").alias("component")).agg(
+        mean_of_sixths(F.col("similarity")).alias("avg_similarity"), F.round(F.max("start_distance"), 1).alias("max_start_xy_dist"), F.round(F.avg("start_distance"), 1).alias("spacing")
+    )
+    counts = label.groupBy("component").agg(F.count("*").alias("path_count"))
+    return stats.join(counts, "component").where((F.col("path_count") >= size) & (F.col("max_start_xy_dist") <= spread))
+
+
+def common_levels_v1(runs: DataFrame, group: str, tolerance: float = Z_TOLERANCE, size: int = LEAST_SIZE) -> DataFrame:
+    """As common_levels, but a level holds what lies within the tolerance of its lowest run."""
+    entry = F.struct(F.col("mean_z").alias("v"), "path_id", "run_no", F.col("mean_x").alias("x"), F.col("mean_y").alias("y"))
+    folded = runs.groupBy(group).agg(F.collect_list(entry).alias("v")).select(group, F.explode(P.anchored_groups(F.col("v"), tolerance)).alias("g"))
+    rows = folded.groupBy(group, F.col("g.group").alias("at")).agg(F.collect_list("g.value").alias("c"), F.avg("g.value.v").alias("z"), F.countDistinct("g.value.path_id").alias("path_count"))
+    kept = rows.where(F.col("path_count") >= size).select(group, "at", F.round("z", 1).alias("mean_z"), "path_count", F.round(P.diameter(F.col("c")), 1).alias("xy_spread"))
+    return kept.withColumn("level_no", F.row_number().over(Window.partitionBy(group).orderBy("at"))).drop("at")
+
+
+def zones_v1(points: DataFrame, trunk: DataFrame, group: str, tolerance: float = Z_TOLERANCE, factor: float = BAND_FACTOR) -> DataFrame:
+    """Boxes of the zones by height alone: within the band trunk, below it fan_in, above it fan_out."""
+    off = F.col("z") - F.col("trunk_z")
+    zone = F.when(F.abs(off) <= tolerance * factor, "trunk").when(off < 0, "fan_in").otherwise("fan_out")
+    box = [f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
+    return points.join(trunk, group).groupBy(group, zone.alias("zone"), "trunk_z", "is_trunk_estimated").agg(*box, F.count("*").alias("node_count"))

@@ -8,6 +8,7 @@ from netloom import testbed as T
 from netloom.functions import similarity as S
 from netloom.operators import grouping as Gr
 from netloom.operators import paths as P
+from netloom.operators import routing as R
 
 
 def path_steps(spark, sf):
@@ -88,6 +89,27 @@ def group_zones(spark, sf):
     return Gr.zones(points, Gr.trunks(common_z_levels(spark, sf), "equipment"), "equipment")
 
 
+def path_groups_v1(spark, sf):
+    return Gr.groups_v1(_features(spark, sf), ["equipment"])
+
+
+def common_z_levels_v1(spark, sf):
+    runs = _runs(spark, sf).join(T.paths(spark, sf).select("path_id", "equipment"), "path_id")
+    return Gr.common_levels_v1(runs, "equipment")
+
+
+def group_zones_v1(spark, sf):
+    s, p = T.steps(spark, sf), T.paths(spark, sf)
+    points = P.points(s, p).join(p.select("path_id", "equipment"), "path_id")
+    return Gr.zones_v1(points, Gr.trunks(common_z_levels_v1(spark, sf), "equipment"), "equipment")
+
+
+def enriched_paths(spark, sf):
+    """Patterns, lengths and numbers of directions of each path, angles at the tolerance included."""
+    e = R.enrich(T.steps(spark, sf).where("dx * dx + dy * dy + dz * dz >= 1e-6"))
+    return e.select("path_id", "direction_raw", "direction_pattern", "total_length", "n_r", "n_h", "n_d")
+
+
 def tolerance_groups(spark, sf):
     """Suppliers' balances in groups of 2 * 100 from each group's first value, by nation."""
     rows = T.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("id"))).alias("v"))
@@ -165,12 +187,23 @@ zd AS (SELECT a.equipment, a.c, round(max(sqrt((a.mean_x-b.mean_x)*(a.mean_x-b.m
   FROM zc a JOIN zc b ON a.equipment = b.equipment AND a.c = b.c GROUP BY a.equipment, a.c),
 level AS (SELECT zl.equipment, mean_z, path_count, xy_spread, CAST(row_number() OVER (PARTITION BY zl.equipment ORDER BY zl.c) AS INT) AS level_no FROM zl JOIN zd ON zl.equipment = zd.equipment AND zl.c = zd.c)
 """
+ZLEVEL1_SQL = """
+zs AS (SELECT p.equipment, r.*, row_number() OVER (PARTITION BY p.equipment ORDER BY mean_z, r.path_id, run_no) AS i FROM run r JOIN path p ON p.path_id = r.path_id),
+fold AS (SELECT equipment, i, mean_z AS anchor, 0 AS c FROM zs WHERE i = 1
+  UNION ALL SELECT z.equipment, z.i, CASE WHEN z.mean_z - f.anchor <= 200 THEN f.anchor ELSE z.mean_z END, CASE WHEN z.mean_z - f.anchor <= 200 THEN f.c ELSE f.c + 1 END
+  FROM fold f JOIN zs z ON z.equipment = f.equipment AND z.i = f.i + 1),
+zc AS (SELECT zs.*, fold.c FROM zs JOIN fold ON zs.equipment = fold.equipment AND zs.i = fold.i),
+zl AS (SELECT equipment, c, round(avg(mean_z), 1) AS mean_z, count(DISTINCT path_id) AS path_count FROM zc GROUP BY equipment, c HAVING count(DISTINCT path_id) >= 2),
+zd AS (SELECT a.equipment, a.c, round(max(sqrt((a.mean_x-b.mean_x)*(a.mean_x-b.mean_x)+(a.mean_y-b.mean_y)*(a.mean_y-b.mean_y))), 1) AS xy_spread
+  FROM zc a JOIN zc b ON a.equipment = b.equipment AND a.c = b.c GROUP BY a.equipment, a.c),
+level AS (SELECT zl.equipment, mean_z, path_count, xy_spread, CAST(row_number() OVER (PARTITION BY zl.equipment ORDER BY zl.c) AS INT) AS level_no FROM zl JOIN zd ON zl.equipment = zd.equipment AND zl.c = zd.c)
+"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         path_steps, path_features, path_positions, h_segments, direction_runs, pattern_freq, levels_traversed, elevation_bop, pattern_similarity, composite_similarity,
-        composite_similarity_v1, path_groups, common_z_levels, group_zones, tolerance_groups, equipment_stats, utility_stats, direction_ratio, length_hist, path_summary_stats,
+        composite_similarity_v1, path_groups, common_z_levels, group_zones, path_groups_v1, common_z_levels_v1, group_zones_v1, enriched_paths, tolerance_groups, equipment_stats, utility_stats, direction_ratio, length_hist, path_summary_stats,
     )
 }
 
@@ -211,6 +244,26 @@ ORACLE_SQL = {
         max(CASE WHEN abs(z - trunk_z) <= 400 THEN seq END) OVER (PARTITION BY pt.path_id) AS l FROM pt JOIN path p ON p.path_id = pt.path_id JOIN tk ON tk.equipment = p.equipment)
       SELECT equipment, CASE WHEN f IS NULL THEN CASE WHEN z < trunk_z THEN 'fan_in' ELSE 'fan_out' END WHEN seq < f THEN 'fan_in' WHEN seq > l THEN 'fan_out' ELSE 'trunk' END AS zone,
         trunk_z, is_trunk_estimated, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max, count(*) AS node_count FROM zp GROUP BY ALL""",
+    "path_groups_v1": f"""{W}, {FEAT_SQL}, {PAIR_SQL},
+      s1 AS MATERIALIZED (SELECT a, b, equipment, far, round(greatest(0, least(1, .3*arrow_sim + .3*v1 + .2*range_sim + .2*length_sim)), 6) AS similarity FROM sm),
+      lk AS (SELECT a, b FROM s1 WHERE similarity >= .7 UNION ALL SELECT b, a FROM s1 WHERE similarity >= .7),
+      reach AS (SELECT DISTINCT a AS v, a AS r FROM lk UNION SELECT reach.v, lk.b FROM reach JOIN lk ON lk.a = reach.r),
+      comp AS (SELECT v, min(r) AS component FROM reach GROUP BY v), n AS (SELECT component, count(*) AS path_count FROM comp GROUP BY 1),
+      st AS (SELECT s.equipment, x.component, CAST((2 * sum(CAST(round(similarity * 1000000) AS BIGINT)) + 100 * count(*)) // (200 * count(*)) AS BIGINT) / 10000::DOUBLE AS avg_similarity,
+        round(max(far), 1) AS max_start_xy_dist, round(avg(far), 1) AS spacing FROM s1 s JOIN comp x ON x.v = s.a JOIN comp y ON y.v = s.b AND y.component = x.component GROUP BY 1, 2)
+      SELECT equipment, st.component, path_count, avg_similarity, max_start_xy_dist, spacing FROM st JOIN n ON n.component = st.component WHERE path_count >= 2 AND max_start_xy_dist <= 5000""",
+    "common_z_levels_v1": f"{W}, {RUN_SQL}, {ZLEVEL1_SQL} SELECT * FROM level",
+    "group_zones_v1": f"""{W}, {RUN_SQL}, {ZLEVEL1_SQL},
+      tk AS (SELECT equipment, mean_z AS trunk_z, xy_spread > 1500 AS is_trunk_estimated FROM level
+        QUALIFY row_number() OVER (PARTITION BY equipment ORDER BY xy_spread <= 1500 DESC, CASE WHEN xy_spread <= 1500 THEN path_count END DESC NULLS LAST, xy_spread, level_no) = 1)
+      SELECT p.equipment, CASE WHEN abs(z - trunk_z) <= 400 THEN 'trunk' WHEN z < trunk_z THEN 'fan_in' ELSE 'fan_out' END AS zone, trunk_z, is_trunk_estimated,
+        min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max, count(*) AS node_count
+      FROM pt JOIN path p ON p.path_id = pt.path_id JOIN tk ON tk.equipment = p.equipment GROUP BY ALL""",
+    "enriched_paths": f"""{W}, e AS (SELECT path_id, seq, len, CASE WHEN a >= 85 THEN 'R' WHEN a <= 5 THEN 'H' ELSE 'D' END AS c FROM
+        (SELECT *, CASE WHEN sqrt(dx*dx + dy*dy) <= 1e-6 THEN 90 ELSE degrees(atan2(abs(dz), sqrt(dx*dx + dy*dy))) END AS a FROM coded WHERE len >= 1e-3)),
+      b AS (SELECT *, lag(c) OVER (PARTITION BY path_id ORDER BY seq) AS before FROM e)
+      SELECT path_id, string_agg(c, '-' ORDER BY seq) AS direction_raw, string_agg(c, '-' ORDER BY seq) FILTER (WHERE before IS NULL OR before <> c) AS direction_pattern, round(sum(len), 2) AS total_length,
+        count(*) FILTER (WHERE c = 'R') AS n_r, count(*) FILTER (WHERE c = 'H') AS n_h, count(*) FILTER (WHERE c = 'D') AS n_d FROM b GROUP BY 1""",
     "tolerance_groups": """WITH RECURSIVE s AS (SELECT s_nationkey, s_suppkey, s_acctbal AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS i FROM supplier),
       f AS (SELECT s_nationkey, s_suppkey, i, v AS anchor, 0 AS g FROM s WHERE i = 1
         UNION ALL SELECT s.s_nationkey, s.s_suppkey, s.i, CASE WHEN abs(s.v - f.anchor) > 200 THEN s.v ELSE f.anchor END, CASE WHEN abs(s.v - f.anchor) > 200 THEN f.g + 1 ELSE f.g END

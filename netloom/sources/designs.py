@@ -58,7 +58,7 @@ def connections(docs: DataFrame) -> DataFrame:
     """One row for each connection point of an equipment, in the document's order."""
     e = docs.select("source_file", F.posexplode("equipment").alias("equipment_no", "e"))
     p = e.select("source_file", "equipment_no", F.coalesce(first_of(F.col("e.guid"), F.col("e.id")), F.lit("UnknownID")).alias("equipment_id"), F.coalesce(first_of(F.col("e.name")), F.lit("Unknown")).alias("equipment_name"), "e.process", "e.maker", F.posexplode("e.pocList").alias("poc_no", "p"))
-    return p.select("source_file", "equipment_no", "equipment_id", "equipment_name", "process", "maker", "poc_no", first_of(F.col("p.guid"), F.col("p.id")).alias("poc_guid"), "p.name", "p.utility", "p.size", _point(F.col("p.pocPosition")).alias("pos"))
+    return p.select("source_file", "equipment_no", "equipment_id", "equipment_name", "process", "maker", "poc_no", first_of(F.col("p.guid"), F.col("p.id")).alias("poc_guid"), "p.name", "p.utility", F.col("p.utilityGroup").alias("utility_group"), "p.size", _point(F.col("p.pocPosition")).alias("pos"))
 
 
 def obstacles(docs: DataFrame) -> DataFrame:
@@ -78,3 +78,51 @@ def objects_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
     rows = spark.read.csv(path, header=True, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c)
     return rows.select("SourceFile", "Category", "ID", "Name", "Level", *map(number, ("MinX", "MinY", "MinZ", "MaxX", "MaxY", "MaxZ")))
+
+
+#: Columns of the positional bundle CSV, in their order; those from the eleventh on are numbers.
+BUNDLE_COLUMNS = ["source_file", "process", "equipment", "utility", "maker", "bay", "level", "kind", "axis", "pipes", "pipe_count", "spacing", "elevation", "bop"] + [f"{m}_{c}" for m in ("min", "max", "mid") for c in "xyz"]
+
+
+def bundles_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Bundles by the position of their columns; rows of fewer columns are dropped, numbers that don't parse are 0."""
+    text = spark.read.option("wholetext", False).csv(path, header=True, encoding=encoding, schema=", ".join(f"`{c}` string" for c in BUNDLE_COLUMNS) + ", _bad string", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True)
+    rows = text.where(F.col("_bad").isNull()).drop("_bad")
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c)
+    maker = F.coalesce(F.nullif("maker", F.lit("")), F.lit("N/A")).alias("maker")
+    return rows.select(*(maker if c == "maker" else F.col(c) for c in BUNDLE_COLUMNS[:10]), number("pipe_count").cast("int").alias("pipe_count"), *map(number, BUNDLE_COLUMNS[11:]))
+
+
+def pipe_category(*texts: Column) -> Column:
+    """BRANCH PIPE, LATERAL or DUCT by words in an object's id, type and name; null for others."""
+    both = F.upper(F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts)))
+    return F.when(both.contains("BRANCH") & both.contains("PIPE"), "BRANCH PIPE").when(both.contains("LATERAL"), "LATERAL").when(both.contains("DUCT"), "DUCT")
+
+
+def bim_equipment(docs: DataFrame) -> DataFrame:
+    """Equipment with its box and whether it stands in the level CR; points as MULTIPOINT Z text."""
+    e = docs.select("source_file", F.posexplode("equipment").alias("no", "e"))
+    room = levels(docs).where(F.upper(F.trim("level")) == "CR").groupBy("source_file").agg(F.min_by(F.struct("z_min", "z_max"), "ordinal").alias("cr"))
+    box = [F.coalesce(f"e.boundaryBox.{m}.{c}", F.lit(0.0)).alias(f"{m}_{c}") for m in ("min", "max") for c in "xyz"]
+    place = lambda p: F.array_join(F.transform(F.slice(p["pocPosition"], 1, 3), lambda x: x.cast("string")), " ")
+    points = F.transform(F.filter("e.pocList", lambda p: p["pocPosition"].isNotNull()), place)
+    rows = e.select("source_file", "no", F.col("e.id").alias("eq_id"), "e.name", "e.type", "e.process", "e.maker", F.coalesce(F.size("e.pocList"), F.lit(0)).alias("poc_total_count"), F.to_json("e.pocList").alias("poc_list"), *box, F.when(F.size(points) > 0, F.concat(F.lit("MULTIPOINT Z("), F.array_join(points, ", "), F.lit(")"))).alias("poc_geom_wkt"))
+    rows = rows.join(room, "source_file", "left")
+    main = (F.col("max_z") >= F.col("cr.z_min")) & (F.col("min_z") <= F.col("cr.z_max"))
+    return rows.withColumns({**{f"length_{c}": F.abs(F.col(f"max_{c}") - F.col(f"min_{c}")) for c in "xyz"}, "is_main": F.coalesce(main, F.lit(False))}).drop("cr")
+
+
+def bim_spaces(docs: DataFrame) -> DataFrame:
+    s = docs.select("source_file", F.explode("levels").alias("s"))
+    box = [F.coalesce(f"s.boundary.{m}.{c}", F.lit(0.0)).alias(f"{m}_{c}") for m in ("min", "max") for c in "xyz"]
+    return s.select("source_file", F.col("s.levelName").alias("level_name"), *box).withColumns({f"size_{c}": F.abs(F.col(f"max_{c}") - F.col(f"min_{c}")) for c in "xyz"})
+
+
+def bim_pipes(docs: DataFrame) -> DataFrame:
+    """Ducts, laterals and branch pipes among nodes and edges, by words in their id, type and name."""
+    def of(name: str, label: str) -> DataFrame:
+        r = docs.select("source_file", F.explode(name).alias("r"))
+        named = F.col("r.name") if label == "node" else F.lit(None).cast("string")
+        return r.select("source_file", F.col("r.id").alias("object_id"), named.alias("name"), "r.type", pipe_category(F.col("r.id"), F.col("r.type"), named).alias("category"), _point(F.col("r.position")).alias("pos"))
+
+    return of("nodes", "node").unionByName(of("edges", "edge")).where("category is not null")

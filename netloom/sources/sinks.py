@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,3 +41,22 @@ def drifted(found: StructType, wanted: StructType, exact: bool = False, types: b
 def store_vectors(vectors: DataFrame, path: str) -> None:
     """Appends vectors, partitioned by process so that searches with this filter prune their files."""
     vectors.write.partitionBy("process_name").mode("append").parquet(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """JSON lines of any table: branch reports, designed routes, vectors with their parts, evaluations, parameters."""
+    rows.write.mode("overwrite").json(path)
+
+
+def appended(rows: DataFrame, path: str, clean: bool = False) -> None:
+    """Appends an import without asking what is there; `clean` starts anew."""
+    rows.write.mode("overwrite" if clean else "append").parquet(path)
+
+
+def vector_text(vec) -> Column:
+    """A vector as [a,b,...], the literal of vector stores."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vec, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def vector_of_text(text) -> Column:
+    return F.from_json(text, "array<double>")
