@@ -12,8 +12,9 @@ from netloom.functions import similarity as S
 from netloom.functions import text as Tx
 from netloom.operators import graph as Gp
 from netloom.operators import paths as P
+from netloom.operators import routing, zone_design
 from netloom.operators.components import components
-from netloom.sources import designs, sinks
+from netloom.sources import designs, results, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,7 +87,7 @@ def test_import_twice_changes_nothing(spark):
     assert sorted(map(tuple, sinks.replaced_files(once, new, "f").collect())) == [("a", 3), ("b", 2)]
 
 
-@pytest.mark.parametrize("name", ["path_features", "h_segments", "common_z_levels", "segment_hits", "branch_nodes", "topk_filtered", "latest_import"])
+@pytest.mark.parametrize("name", ["path_features", "path_groups", "h_segments", "common_z_levels", "segment_hits", "branch_nodes", "routing_paths", "horizontal_bundles", "encode_vectors", "topk_filtered", "design_route", "latest_import"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "orders", "region", "nation", "supplier", "customer", "part", "events", "embeddings"):
@@ -95,3 +96,67 @@ def test_against_sql(spark, name):
     want = con.sql(catalogue.ORACLE_SQL[name]).df()[list(got.columns)]
     key = lambda df: sorted(repr([round(v, 5) + 0.0 if isinstance(v, float) else str(v) for v in r]) for r in df.itertuples(index=False))
     assert key(got) == key(want)
+
+
+def _documents(spark, tmp_path):
+    node = lambda g, i, t, c, p, n="": {"guid": g, "id": i, "type": t, "name": n, "position": p, "connectionGuidList": c}
+    edge = lambda g, a, b: {"guid": g, "type": "PIPE", "connectionGuidList": [a, b]}
+    nodes = [
+        node("p", "POC1", "POC", ["e1"], [0, 0, 0]), node("t", "T1", "TEE", ["e1", "e2", "e3"], [0, 0, 500]), node("d", "D1", "TAKEOFF", ["e2"], [800, 0, 500]),
+        node("u", "U1", "EQUIPMENT", ["e3"], [0, 900, 500], "Dry_Pump_1"),
+    ]
+    poc = {"guid": "p", "id": "POC1", "name": "POC1", "utility": "PV", "utilityGroup": "Vaccum", "size": "40", "pocPosition": [0, 0, 0]}
+    doc = {"Nodes": nodes, "Edges": [edge("e1", "p", "t"), edge("e2", "t", "d"), edge("e3", "t", "u")], "Equipment": [{"guid": "q", "id": "EQ1", "name": "Main", "pocList": [poc]}]}
+    (tmp_path / "one.json").write_text(json.dumps(doc))
+    docs = designs.documents(spark, str(tmp_path))
+    return docs, designs.nodes(docs), designs.edges(docs), designs.connections(docs)
+
+
+def test_routing_of_documents(spark, tmp_path):
+    docs, nodes, edges, points = _documents(spark, tmp_path)
+    got = {r["kind"]: r for r in routing.routing_paths(nodes, edges, points).collect()}
+    assert set(got) == {"DUCT", "EQUIPMENT"} and got["DUCT"]["arrow"] == "R-H" and got["EQUIPMENT"]["total_length"] == 1400.0
+    report = routing.branch_report(nodes, edges, points).collect()
+    assert [(r["branch"], r["type"], r["connections"], r["terminals"]) for r in report] == [("T1", "TEE", 3, ["D1", "POC1", "U1"])]
+    assert routing.branch_summary(routing.branch_report(nodes, edges, points)).first()["types"] == {"TEE": 1}
+    path = routing.vacuum_paths(nodes, edges, points).collect()
+    assert [(r["direction_pattern"], r["total_length"], r["n_r"], r["n_h"]) for r in path] == [("R-H", 1400.0, 1, 1)]
+    assert designs.bim_equipment(docs).first()["poc_total_count"] == 1
+
+
+def test_caps_are_flagged(spark):
+    hops = Gp.undirected(spark.createDataFrame([(f"e{k}", "P", f"A{k}") for k in range(5)], "edge string, a string, b string"))
+    starts = spark.createDataFrame([("P",)], "start string")
+    end = F.col("node").startswith("A")
+    assert [r["cut"] for r in Gp.simple_paths(starts, hops, end).collect()] == [False] * 5
+    assert [r["cut"] for r in Gp.simple_paths(starts, hops, end, per_start=2).collect()] == [True] * 2
+
+
+def test_detour_round_a_column(spark):
+    step = lambda x, y, z: (float(x), float(y), float(z), 0.0, "H")
+    rows = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 4000.0, 0.0, 0.0, None, [step(4000, 0, 0)], [(0.0, 0.0, 0.0), (4000.0, 0.0, 0.0)])], "request_id long, sx double, sy double, sz double, tx double, ty double, tz double, trunk_z double, steps array<struct<dx:double,dy:double,dz:double,len:double,code:string>>, points array<struct<x:double,y:double,z:double>>")
+    boxes = spark.createDataFrame([(7, "COLUMN_STRUCTURE", 1900.0, -100.0, -1000.0, 2100.0, 100.0, 1000.0)], "obstacle_id long, category string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    got = zone_design.zone_routes(rows, boxes).first()
+    assert [tuple(s) for s in got["route"]] == [(0.0, 400.0, 0.0), (4000.0, 0.0, 0.0), (0.0, -400.0, 0.0)] and got["detours"] == 1
+
+
+def test_stored_results(spark, tmp_path):
+    doc = {"equipment_name": "E", "poc_paths": [{"start_poc_id": "P", "start_poc_info": {"utility": "U"}, "paths": [{"node_positions": [[0, 0, 0], [0, 0, 5], [3, 0, 5]]}, {"path_arrow": "H", "path_step_vector": "(1, 2, 2)", "path_step_length": "3"}]}]}
+    (tmp_path / "r.json").write_text(json.dumps(doc))
+    got = {r["path_no"]: r for r in results.routing_results(spark, str(tmp_path)).collect()}
+    assert (got[0]["path_arrow"], got[0]["path_total_length"], got[0]["path_range"]["z"], got[0]["size"]) == ("R-H", 8.0, 5.0, "-")
+    assert (got[1]["path_arrow"], got[1]["path_total_length"], got[1]["step_vectors"][0]["y"]) == ("H", 3.0, 2.0)
+    segments = spark.createDataFrame([("s", "r", 1)], "segment_guid string, route_path_guid string, segment_order int")
+    details = spark.createDataFrame([("s", 2), ("s", 1)], "segment_guid string, detail_order int")
+    mapped = spark.createDataFrame([("m", "s", 1)], "route_path_guid string, segment_guid string, segment_order int")
+    assert {r["route_path_guid"] for r in results.path_details(details, segments, mapped).collect()} == {"m"}
+    assert [r["seq"] for r in results.path_details(details, segments, mapped.limit(0), "r").orderBy("detail_order").collect()] == [1, 2]
+
+
+def test_spatial_terms(spark):
+    p = lambda x: F.struct(*(F.lit(float(x)).alias(c) for c in "xyz"))
+    path = lambda x, kind, far, names: F.struct(p(x).alias("start_rel"), p(x).alias("end_rel"), F.lit("E").alias("start_face"), F.lit(kind).alias("terminal_type"), F.lit(far).alias("terminal_distance"), F.lit("L").alias("terminal_level"), F.lit(names[0]).alias("start_level"), F.lit(names[-1]).alias("end_level"), F.array(*map(F.lit, names)).alias("levels"))
+    a, b = path(0, "DUCT", 100.0, ["A", "B"]), path(0, "LATERAL", 0.0, ["A", "C"])
+    assert one(spark, S.equip_relative(a, b)) == pytest.approx(1.0)
+    assert one(spark, S.terminal(a, b)) == pytest.approx(0.4 * 0.3 + 0.3 * 0.3 + 0.3)
+    assert one(spark, S.levels(a, b)) == pytest.approx(0.25 + 0 + 0.25 + 0.25 / 3)
