@@ -78,3 +78,13 @@ def face(offsets: dict[str, Column]) -> Column:
     """Name of the largest offset; the first name wins ties."""
     ranked = F.array(*(F.struct(v.alias("v"), F.lit(-k).alias("k"), F.lit(n).alias("n")) for k, (n, v) in enumerate(offsets.items())))
     return F.array_max(ranked)["n"]
+
+
+def displacement(p: Column, q: Column) -> Column:
+    """(dx, dy, dz) from p to q with two decimals."""
+    return F.struct(*(F.round(q[c] - p[c], 2).alias(f"d{c}") for c in "xyz"))
+
+
+def y_up(p: Column) -> Column:
+    """A point in the axes of viewers, where y points up."""
+    return F.struct(p["x"].alias("x"), p["z"].alias("y"), (-p["y"]).alias("z"))

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.text import OBSTACLE_CATEGORIES, first_of, normalized
+from netloom.functions.text import OBSTACLE_CATEGORIES, first_of, json_position, normalized
 
 _POINT = "struct<x:double,y:double,z:double>"
 _BOX = f"struct<min:{_POINT},max:{_POINT}>"
-_NODE = f"array<struct<guid:string,id:string,name:string,type:string,position:array<double>,level:string,bay:string,utility:string,material:string,size:string,connectionGuidList:array<string>,boundaryBox:{_BOX}>>"
-_EDGE = "array<struct<guid:string,id:string,type:string,utility:string,size:string,material:string,position:array<double>,connectionGuidList:array<string>>>"
+_NODE = f"array<struct<guid:string,id:string,name:string,type:string,position:string,pocPosition:string,nodePosition:string,level:string,bay:string,utility:string,material:string,size:string,connectionGuidList:array<string>,boundaryBox:{_BOX}>>"
+_EDGE = "array<struct<guid:string,id:string,type:string,utility:string,size:string,material:string,position:string,connectionGuidList:array<string>>>"
 _POC = "array<struct<guid:string,id:string,name:string,utility:string,utilityGroup:string,size:string,pocPosition:array<double>>>"
 _EQUIPMENT = f"array<struct<guid:string,id:string,name:string,type:string,process:string,maker:string,position:array<double>,boundaryBox:{_BOX},pocList:{_POC}>>"
 _OBSTACLE = f"array<struct<obstacleId:string,name:string,ddworksType:string,ostType:string,boundary:{_BOX}>>"
@@ -46,7 +46,7 @@ def _last(rows: DataFrame) -> DataFrame:
 
 def nodes(docs: DataFrame) -> DataFrame:
     r = _last(docs.select("source_file", F.posexplode("nodes").alias("at", "r")))
-    return r.select("source_file", "guid", "r.id", "r.name", normalized(F.col("r.type")).alias("type"), _point(F.col("r.position")).alias("pos"), "r.level", "r.bay", "r.utility", "r.size", F.col("r.connectionGuidList").alias("conn"))
+    return r.select("source_file", "guid", "r.id", "r.name", normalized(F.col("r.type")).alias("type"), json_position(F.col("r.position"), F.col("r.pocPosition"), F.col("r.nodePosition")).alias("pos"), "r.level", "r.bay", "r.utility", "r.size", F.col("r.connectionGuidList").alias("conn"))
 
 
 def edges(docs: DataFrame) -> DataFrame:
@@ -123,6 +123,6 @@ def bim_pipes(docs: DataFrame) -> DataFrame:
     def of(name: str, label: str) -> DataFrame:
         r = docs.select("source_file", F.explode(name).alias("r"))
         named = F.col("r.name") if label == "node" else F.lit(None).cast("string")
-        return r.select("source_file", F.col("r.id").alias("object_id"), named.alias("name"), "r.type", pipe_category(F.col("r.id"), F.col("r.type"), named).alias("category"), _point(F.col("r.position")).alias("pos"))
+        return r.select("source_file", F.col("r.id").alias("object_id"), named.alias("name"), "r.type", pipe_category(F.col("r.id"), F.col("r.type"), named).alias("category"), json_position(F.col("r.position")).alias("pos"))
 
     return of("nodes", "node").unionByName(of("edges", "edge")).where("category is not null")

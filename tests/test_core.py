@@ -53,6 +53,37 @@ def test_text(spark):
     assert one(spark, Tx.multipoint_wkt(F.lit("(1, 2, 3) | (4, 5, 6)"))) == "MULTIPOINT Z ((1 2 3), (4 5 6))"
     assert one(spark, Tx.multipoint_wkt(F.lit("(0.50, 11, 2)"))) == "MULTIPOINT Z ((0.50 11 2))"
     assert one(spark, Tx.type_summary(F.array(F.lit("POC"), F.lit("ELBOW"), F.lit(None)))) == "PO->EB->??"
+    assert one(spark, Tx.type_summary(F.array(*map(F.lit, ("valve", " duct", "Lateral", "LATERAL PIPE", "nozzle", "q"))))) == "VL->DT->LA->LP->NO->Q"
+    assert one(spark, Tx.type_summary(F.array(F.lit("q")), pad=True)) == "Q?"
+    assert one(spark, Tx.legend()["VL"]["type"]) == "VALVE" and one(spark, F.size(Tx.legend())) == 32
+    assert one(spark, Tx.record_id(F.lit(""), F.lit("P1"))) == "P1" and one(spark, Tx.record_id(F.lit(None), F.lit(None))) == ""
+
+
+def _p(x, y, z):
+    return F.struct(*(F.lit(float(v)).alias(c) for c, v in zip("xyz", (x, y, z))))
+
+
+def test_serialised_vectors(spark):
+    text = one(spark, Tx.vectors_text(F.array(_p(1, -2.5, 0), _p(12345678, 0, 3))))
+    assert text == "(1.0,-2.5,0.0), (12345678.0,0.0,3.0)"
+    assert [tuple(v) for v in one(spark, Tx.legacy_vectors(F.lit(text)))] == [(1.0, -2.5, 0.0), (12345678.0, 0.0, 3.0)]
+    assert one(spark, Tx.vectors_text(F.array().cast("array<struct<x:double,y:double,z:double>>"))) == ""
+    assert one(spark, Tx.lengths_text(F.array(F.lit(1.0), F.lit(20.25)))) == "1.0, 20.3"
+
+
+@pytest.mark.parametrize("texts, wanted", [
+    (("[1, 2.5, 3, 9]",), (1, 2.5, 3)), (("[1, 2]",), (0, 0, 0)), (('{"x": 1, "Y": 2}',), (1, 2, 0)),
+    ((None, "[]", "[4,5,6]"), (4, 5, 6)), ((None,), (0, 0, 0)), (("{}", "null"), (0, 0, 0)),
+])
+def test_json_position(spark, texts, wanted):
+    assert tuple(one(spark, Tx.json_position(*(F.lit(t).cast("string") for t in texts)))) == wanted
+
+
+def test_projections(spark):
+    assert tuple(one(spark, G.displacement(_p(1, 2, 3), _p(1.004, 4.126, 0)))) == (0.0, 2.13, -3.0)
+    assert tuple(one(spark, G.y_up(_p(1, 2, 3)))) == (1.0, 3.0, -2.0)
+    low, high = ({c: F.lit(v) for c, v in zip("xyz", p)} for p in ((0.0, 1.0, 2.0), (0.0, 3.0, 4.0)))
+    assert one(spark, Tx.footprint_wkt(low, high)) == "POLYGON Z ((0.0 1.0 2.0, 0.01 1.0 2.0, 0.01 3.0 2.0, 0.0 3.0 2.0, 0.0 1.0 2.0))"
 
 
 def test_components(spark):
