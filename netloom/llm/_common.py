@@ -87,6 +87,16 @@ def trim() -> None:
         pass
 
 
+def tidy(run):
+    """Of a function over batches: when its input ends it gives freed memory back, which idle workers would hold."""
+
+    def tidied(batches):
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 def text_parts(batch: pa.RecordBatch, column: int | str, most: int = PART_BYTES) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of runs of rows with `most` bytes and one text more at most.
 

@@ -57,6 +57,9 @@ class WordCache:
             raise ValueError(f"{name}: added tokens that take in their surroundings are not supported")
         #: Special tokens, longest first, and their identifiers.
         self.special = {t.content: i for i, t in sorted(added.items(), key=lambda x: -len(x[1].content))}
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
         self.earlier: dict[str, bytes] = {}
 

@@ -215,6 +215,7 @@ def recognised(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold
                 taken.append(good)
             flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), flat(scores, pa.float64()), flat(taken, pa.bool_())], _FOUND.names)
+        _common.trim()
 
     return run
 

@@ -247,6 +247,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     """Of every row the size of its set, and of those that have one its digest, minima, sketch and keys."""
     top = depths(percent)[0]
 
+    @_common.tidy
     def run(batches):
         _common.worker_memory("near_dedup")
         words = Words()
@@ -298,6 +299,7 @@ def _dealt(vertices: DataFrame, percent: int, where: str) -> DataFrame:
 def _branched(dealt: DataFrame, percent: int) -> DataFrame:
     """Similar pairs and members of dense nodes over all trees."""
 
+    @_common.tidy
     def run(batches):
         _common.worker_memory("near_dedup")
         node = Node(percent)
@@ -359,6 +361,7 @@ def _unjoined(members: DataFrame, percent: int, best: bool) -> DataFrame:
     without, every pair that the prefixes don't rule out.
     """
 
+    @_common.tidy
     def run(batches):
         for table in _runs(batches):
             key = table.column(0).to_numpy()
@@ -409,6 +412,7 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, vertices
     ids = vertices.join(wanted, "_set", "left_semi").select("_id")
     filtered = DigestFilter(_common.written(ids, f"{path}-ids"), "_id", path)
 
+    @_common.tidy
     def run(batches):
         _common.worker_memory("near_dedup")
         words = Words()
@@ -428,6 +432,7 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, vertices
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity."""
 
+    @_common.tidy
     def run(batches):
         for batch in batches:
             a, b, x, y = (batch.column(k) for k in range(4))

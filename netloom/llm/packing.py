@@ -142,18 +142,21 @@ def pack_documents(
     tokenizer: str = "word_bpe_49k.json",
     capacity: int = CAPACITY,
     buffer_tokens: int = 512 * CAPACITY,
+    keep_words: bool = True,
 ) -> DataFrame:
     """One row for each piece: identifier, start, length, ids, doc_tokens, sequence_id, offset.
 
     ids are little-endian unsigned 32-bit integers. `capacity` is a power of two. Null text is empty text:
     one piece of the end token; null or repeated identifiers are kept, each row is a document of its own;
     documents of equal size stand in the order of the input; an empty table gives no rows. Other columns are
-    neither read nor returned.
+    neither read nor returned. Without `keep_words` a Python worker lets go of the words it remembers when a
+    task ends: some are encoded again, but workers that other operators fill as well stay smaller.
     """
     _common.shipped(docs.sparkSession)
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     types = [docs.schema[id_col].dataType, LongType(), LongType(), BinaryType(), LongType(), LongType(), LongType()]
 
+    @_common.tidy
     def run(batches):
         words = bpe.loaded(WordTokens, tokenizer)
         packer = Packer(capacity, buffer_tokens, TaskContext.get().partitionId() << 33)
@@ -174,6 +177,8 @@ def pack_documents(
         if kinds:
             packer.finish()
             yield rows()
+        if not keep_words:
+            words.forget()
 
     schema = StructType([StructField(n, t) for n, t in zip(names, types)])
     return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -153,6 +153,7 @@ def secrets(text: Column) -> Column:
                     told.append([{"kind": KINDS[k], "start": s, "end": e} for s, e, k in found])
                     clean.append(redacted(x, found) if found else None)
             yield pa.StructArray.from_arrays([pa.array(told, pa.list_(kind)), pa.array(clean, pa.string())], ["spans", "redacted"])
+        _common.trim()
 
     return run(text)
 
