@@ -57,7 +57,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, with the checksum of their ids; each row, null texts too, is a document."""
-    return packing.with_digest(packing.pack_documents(docs))
+    return packing.with_digest(packing.pack_documents(docs, keep_words=False))
 
 
 STAGES = [
