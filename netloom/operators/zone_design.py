@@ -1,6 +1,6 @@
 """Routes in three stages along a bundle's trunk: to the trunk, along it, and on to the destination.
 
-Steps are arrays of struct<dx, dy, dz>; everything but the meeting with columns is one projection of each row.
+Steps are arrays of struct<dx, dy, dz>; route_blocks works them out in numpy.
 requests: request_id, sx..sz, tx..tz, trunk_z (null without a trunk), steps and points of the template.
 """
 
@@ -10,178 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import geometry as G
-from netloom.operators import spatial as Sp
-from netloom.plans.tables import work_dir, written
+from netloom.operators import route_blocks as Rb
 
-#: Band of the trunk, longest fitting, shortest segment, clearance, margin and number of detours.
-BAND, FITTING, SHORTEST, CLEARANCE, MARGIN, DETOURS = 300.0, 150.0, 50.0, 200.0, 300.0, 5
-
-
-def step(dx: Column, dy: Column, dz: Column) -> Column:
-    return F.struct(dx.cast("double").alias("dx"), dy.cast("double").alias("dy"), dz.cast("double").alias("dz"))
-
-
-def _len(s: Column) -> Column:
-    return G.length3(s["dx"], s["dy"], s["dz"])
-
-
-def kind(s: Column) -> Column:
-    return G.segment_code(s["dx"], s["dy"], s["dz"], zero="H")
-
-
-def fitting(s: Column) -> Column:
-    return (kind(s) == "R") & (_len(s) <= FITTING)
-
-
-def _total(steps: Column, c: str, chosen=None) -> Column:
-    used = steps if chosen is None else F.filter(steps, chosen)
-    return F.aggregate(used, F.lit(0.0), lambda t, s: t + s[f"d{c}"])
-
-
-def split(steps: Column, points: Column, trunk_z: Column) -> dict[str, Column]:
-    """fan_in, trunk and fan_out of a template: its trunk runs from its first to its last point in the band."""
-    inside = F.filter(F.transform(points, lambda p, i: F.when(F.abs(p["z"] - trunk_z) <= BAND, i)), lambda i: i.isNotNull())
-    n, first, last = F.size(steps), F.get(inside, F.lit(0)), F.get(inside, F.size(inside) - 1)
-    none = F.slice(steps, F.lit(1), F.lit(0))
-    part = lambda a, b: F.slice(steps, a + 1, F.greatest(b - a, F.lit(0)))
-    return {"fan_in": F.when(first.isNull(), steps).otherwise(part(F.lit(0), first)), "trunk": F.when(first.isNull(), none).otherwise(part(first, last)), "fan_out": F.when(first.isNull(), none).otherwise(part(last, n))}
-
-
-def turned(dx: Column, dy: Column, angle: Column) -> tuple[Column, Column]:
-    return G.snap_orthogonal(*G.rotate_xy(dx, dy, angle))
-
-
-def simple_connection(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Up, across and along, without parts of at most SHORTEST; else one straight step."""
-    d = {c: F.round(b[c] - a[c], 1) for c in "xyz"}
-    zero = F.lit(0.0)
-    parts = F.filter(F.array(step(zero, zero, d["z"]), step(d["x"], zero, zero), step(zero, d["y"], zero)), lambda s: _len(s) > SHORTEST)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(step(d["x"], d["y"], d["z"])))
-
-
-def zone_steps(a: dict[str, Column], b: dict[str, Column], template: Column, angle: Column) -> Column:
-    """A template's steps turned and scaled to lead from a to b; fittings keep their length."""
-    need = {c: b[c] - a[c] for c in "xyz"}
-    riser = _total(template, "z", lambda s: (kind(s) == "R") & ~fitting(s))
-    hx, hy = (_total(template, c, lambda s: kind(s) == "H") for c in "xy")
-    across = F.sqrt(hx * hx + hy * hy)
-    up = F.when(F.abs(riser) > 1e-6, need["z"] / riser).otherwise(1.0)
-    wide = F.when(across > 1e-6, F.sqrt(need["x"] * need["x"] + need["y"] * need["y"]) / across).otherwise(1.0)
-
-    def moved(s):
-        away = ((need["z"] >= 0) & (s["dz"] < 0)) | ((need["z"] < 0) & (s["dz"] > 0))
-        rx, ry = G.rotate_xy(s["dx"], s["dy"], angle)
-        flat, slant = G.snap_orthogonal(rx * wide, ry * wide), G.snap_orthogonal(F.round(rx * wide, 1), F.round(ry * wide, 1))
-        zero, high = F.lit(0.0), F.round(s["dz"] * up, 1)
-        return (
-            F.when(fitting(s), step(s["dx"], s["dy"], F.when(away, -s["dz"]).otherwise(s["dz"])))
-            .when(kind(s) == "R", step(zero, zero, high))
-            .when(kind(s) == "H", step(*flat, zero))
-            .otherwise(step(*slant, high))
-        )
-
-    return F.when(F.size(template) == 0, simple_connection(a, b)).otherwise(F.transform(template, moved))
-
-
-def trunk_steps(a: dict[str, Column], b: dict[str, Column], template: Column) -> Column:
-    """Along the trunk from a to b: flat steps share what fittings leave over, by their length."""
-    dx, dy, zero = b["x"] - a["x"], b["y"] - a["y"], F.lit(0.0)
-    straight = G.snap_orthogonal(dx, dy)
-    bare = F.when((F.abs(dx) < 1e-6) & (F.abs(dy) < 1e-6), F.slice(template, F.lit(1), F.lit(0))).otherwise(F.array(step(F.round(straight[0], 1), F.round(straight[1], 1), zero)))
-    rest = [d - _total(template, c, fitting) for c, d in (("x", dx), ("y", dy))]
-    level = lambda s: kind(s).isin("H", "D")
-    own = lambda s: F.sqrt(s["dx"] * s["dx"] + s["dy"] * s["dy"])
-    total = F.aggregate(F.filter(template, level), F.lit(0.0), lambda t, s: t + own(s))
-    share = lambda s: own(s) / F.when(total == 0, 1.0).otherwise(total)
-    shared = F.transform(template, lambda s: F.when(level(s), step(*G.snap_orthogonal(*(F.round(r * share(s), 1) for r in rest)), zero)).otherwise(s))
-    more = step(*G.snap_orthogonal(F.round(rest[0], 1), F.round(rest[1], 1)), zero)
-    left = (F.abs(rest[0]) > 1e-6) | (F.abs(rest[1]) > 1e-6)
-    return F.when(F.size(template) == 0, bare).when(F.exists(template, level) | ~left, shared).otherwise(F.concat(shared, F.array(more)))
-
-
-def staged(requests: DataFrame) -> DataFrame:
-    """requests with `route`: steps to the trunk, along it and on; a simple connection where there is no trunk."""
-    rows = requests.withColumn("steps", F.transform("steps", lambda s: step(s["dx"], s["dy"], s["dz"])))
-    rows = rows.withColumns({f"_{k}": v for k, v in split(F.col("steps"), F.col("points"), F.col("trunk_z")).items()})
-    # Written between the stages, as each column is used many times by the next and would be computed each time.
-    where = work_dir(requests.sparkSession)
-    rows = written(rows, f"{where}/split")
-    s, t = {c: F.col(f"s{c}") for c in "xyz"}, {c: F.col(f"t{c}") for c in "xyz"}
-    rows = rows.withColumn("_angle", F.atan2(t["y"] - s["y"], t["x"] - s["x"]) - F.atan2(_total(F.col("steps"), "y"), _total(F.col("steps"), "x")))
-
-    def gate(end: dict[str, Column], part: str, sign: int) -> Column:
-        fan = F.col(f"_{part}")
-        rx, ry = turned(_total(fan, "x"), _total(fan, "y"), F.col("_angle"))
-        empty = F.size(fan) == 0
-        at = lambda c, r: F.when(empty, end[c]).otherwise(F.round(end[c] + sign * r, 1))
-        return F.struct(at("x", rx).alias("x"), at("y", ry).alias("y"), F.col("trunk_z").alias("z"))
+def zone_routes(requests: DataFrame, boxes: DataFrame) -> DataFrame:
+    """request_id, route, detours, length and arrow of each request.
 
-    rows = written(rows.withColumns({"_entry": gate(s, "fan_in", 1), "_exit": gate(t, "fan_out", -1)}), f"{where}/gates")
-    entry, leave = ({c: F.col(f"{n}.{c}") for c in "xyz"} for n in ("_entry", "_exit"))
-    whole = F.concat(zone_steps(s, entry, F.col("_fan_in"), F.col("_angle")), trunk_steps(entry, leave, F.col("_trunk")), zone_steps(leave, t, F.col("_fan_out"), F.col("_angle")))
-    rows = rows.withColumn("route", F.when(F.col("trunk_z").isNull(), simple_connection(s, t)).otherwise(whole))
-    return written(rows.drop("_fan_in", "_trunk", "_fan_out", "_angle", "_entry", "_exit"), f"{where}/staged")
-
-
-def avoiding(routes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """routes with detours round structural columns in `route`; vertical steps and fittings pass.
-
-    The first DETOURS steps that meet a column (widened by CLEARANCE) become three: aside by half the column's
-    side and MARGIN, along, and back. Of several columns the nearest to the step's start counts.
+    The first DETOURS steps that meet a structural column (widened by CLEARANCE) become three: aside by half the column's
+    side and MARGIN, along, and back; vertical steps and fittings pass. Of several columns the nearest to the step's start
+    counts. Steps are added where the route misses the destination, and short ones join the one before of their kind.
     """
-    flat = routes.select("request_id", *(F.col(f"s{c}") for c in "xyz"), F.posexplode("route").alias("seq", "s"))
-    run = Window.partitionBy("request_id").orderBy("seq")
-    ends = {f"{c}b": F.col(f"s{c}") + F.sum(f"s.d{c}").over(run.rowsBetween(Window.unboundedPreceding, 0)) for c in "xyz"}
-    line = flat.withColumns(ends).withColumns({f"{c}a": F.col(f"{c}b") - F.col(f"s.d{c}") for c in "xyz"})
-    meets = line.where((kind(F.col("s")) != "R") & ~fitting(F.col("s"))).select(F.col("request_id").alias("path_id"), "seq", *(f"{c}{e}" for e in "ab" for c in "xyz"))
-    hits = Sp.segment_hits(meets, boxes.where("category = 'COLUMN_STRUCTURE'"), CLEARANCE)
-    near = G.box_distance(tuple(F.col(f"{c}a") for c in "xyz"), tuple(F.col(f"{c}0") for c in "xyz"), tuple(F.col(f"{c}1") for c in "xyz"))
-    first = hits.groupBy("path_id", "seq").agg(F.min(F.struct(near.alias("far"), "obstacle_id", *Sp.BOX)).alias("o"))
-    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("path_id").orderBy("seq"))).where(F.col("_n") <= DETOURS).select(F.col("path_id").alias("request_id"), "seq", "o")
-    rows = line.join(first, ["request_id", "seq"], "left").withColumn("steps", F.when(F.col("o").isNull(), F.array("s")).otherwise(_detour()))
-    joined = rows.groupBy("request_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "steps"))), lambda x: x["steps"])).alias("route"), F.count("o").alias("detours"))
-    return routes.drop("route").join(joined, "request_id")
-
-
-def _detour() -> Column:
-    d, zero = {c: F.col(f"s.d{c}") for c in "xyz"}, F.lit(0.0)
-    aside = {c: (F.col(f"o.{c}1") - F.col(f"o.{c}0")) / 2 + MARGIN for c in "xy"}
-    side = {c: F.when(F.col(f"{c}a") >= (F.col(f"o.{c}0") + F.col(f"o.{c}1")) / 2, aside[c]).otherwise(-aside[c]) for c in "xy"}
-    r = lambda x: F.round(x, 1)
-    along_x = F.array(step(zero, r(side["y"]), zero), step(r(d["x"]), zero, r(d["z"])), step(zero, r(d["y"] - side["y"]), zero))
-    along_y = F.array(step(r(side["x"]), zero, zero), step(zero, r(d["y"]), r(d["z"])), step(r(d["x"] - side["x"]), zero, zero))
-    return F.when(F.abs(d["x"]) >= F.abs(d["y"]), along_x).otherwise(along_y)
-
-
-def ended(routes: DataFrame) -> DataFrame:
-    """routes whose `route` ends at the destination: z, x and y steps of more than 1 are added."""
-    gap = {c: F.round(F.col(f"t{c}") - F.col(f"s{c}") - _total(F.col("route"), c), 1) for c in "xyz"}
-    zero = F.lit(0.0)
-    fix = F.filter(F.array(step(zero, zero, gap["z"]), step(gap["x"], zero, zero), step(zero, gap["y"], zero)), lambda s: _len(s) > 1)
-    return routes.withColumn("route", F.concat("route", fix))
-
-
-def cleaned(routes: DataFrame) -> DataFrame:
-    """routes without steps of at most 0.1; a step below SHORTEST joins the one before it of the same kind."""
-    long = F.filter("route", lambda s: _len(s) > 0.1)
-
-    def joined(done, s):
-        last = F.get(done, F.size(done) - 1)
-        same = (F.size(done) > 0) & (kind(last) == kind(s)) & (_len(s) < SHORTEST)
-        both = step(last["dx"] + s["dx"], last["dy"] + s["dy"], last["dz"] + s["dz"])
-        return F.when(same, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(s)))
-
-    merged = F.aggregate(long, F.slice(long, F.lit(1), F.lit(0)), joined)
-    return routes.withColumn("route", F.filter(merged, lambda s: _len(s) > 0.1))
-
-
-def zone_routes(requests: DataFrame, boxes: DataFrame) -> DataFrame:
-    """request_id, route, detours, length and arrow of each request."""
-    where = work_dir(requests.sparkSession)
-    aside = written(avoiding(staged(requests), boxes), f"{where}/avoiding")
-    out = written(cleaned(written(ended(aside), f"{where}/ended")), f"{where}/cleaned")
-    out = out.withColumns({"length": F.round(F.aggregate("route", F.lit(0.0), lambda t, s: t + F.round(_len(s), 1)), 1), "arrow": F.array_join(F.transform("route", kind), "-")})
-    return out.select("request_id", "route", "detours", "length", "arrow")
+    return Rb.zone_routes(requests, boxes).select("request_id", "route", "detours", "length", "arrow")
 
 
 def crosses_itself(points: Column) -> Column:
