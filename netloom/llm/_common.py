@@ -102,6 +102,12 @@ def text_parts(batch: pa.RecordBatch, column: int | str, most: int = PART_BYTES)
 
     Only one run at a time becomes Python strings, however long the rows of the batch are.
     """
+    for i, texts in array_parts(batch, column, most):
+        yield i, texts.to_pylist()
+
+
+def array_parts(batch: pa.RecordBatch, column: int | str, most: int = PART_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """The same runs as slices of the Arrow column."""
     texts = batch.column(column)
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 32
     if not len(size):
@@ -109,7 +115,7 @@ def text_parts(batch: pa.RecordBatch, column: int | str, most: int = PART_BYTES)
     part = (np.cumsum(size) - size) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
     for i, j in zip(cuts, cuts[1:]):
-        yield i, texts.slice(i, j - i).to_pylist()
+        yield i, texts.slice(i, j - i)
 
 
 def shipped(spark: SparkSession) -> None:

@@ -69,24 +69,40 @@ class WordCache:
 
     def encode_words(self, lists: list[list[str]]) -> list[bytes]:
         """The ids of each list of words, as unsigned 32-bit integers."""
-        known, earlier, new = self.known, self.earlier, set()
+        new = set()
         for words in lists:
             new.update(words)
-        new = new.difference(known)  # looks up the few new words, not all known ones
-        miss = []
-        for w in new:
+        self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in lists]
+        self._age()
+        return out
+
+    def encode_distinct(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        self._learn(set(words))
+        out = list(map(self.known.__getitem__, words))
+        self._age()
+        return out
+
+    def encode_new(self, words: list[str]) -> list[bytes]:
+        """The ids of words that aren't remembered."""
+        return self.encode_whole(words)
+
+    def _learn(self, words: set[str]) -> None:
+        known, earlier, miss = self.known, self.earlier, []
+        for w in words.difference(known):  # looks up the few new words, not all known ones
             if (ids := earlier.get(w)) is None:
                 miss.append(w)
             else:
                 known[w] = ids
         for i in range(0, len(miss), 20_000):
             part = miss[i : i + 20_000]
-            known.update(zip(part, self.encode_whole(part)))
-        out = [b"".join(map(known.__getitem__, words)) for words in lists]
-        if len(known) > REMEMBERED:  # words of the last generation are kept until this one is full
+            known.update(zip(part, self.encode_new(part)))
+
+    def _age(self) -> None:
+        if len(known := self.known) > REMEMBERED:  # words of the last generation are kept until this one is full
             self.earlier = {w: x for w, x in known.items() if len(w) <= LONGEST}
             self.known = {"": b""}
-        return out
 
 
 def loaded(kind: type, name: str):

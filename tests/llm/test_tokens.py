@@ -4,6 +4,7 @@ import random
 import zlib
 from array import array
 
+import pyarrow as pa
 import pytest
 
 from netloom.llm import bpe, packing
@@ -47,6 +48,35 @@ def test_word_tokens_equal_the_library():
         assert words.encode(every[i : i + 50]) == words.encode_whole(every[i : i + 50])
 
 
+def test_words_end_where_the_library_ends_them():
+    """Letters that become a letter and a mark run on into the full stop."""
+    words = packing.WordTokens("word_bpe_49k.json")
+    odd = ["\u0130. ", "\u0958. ", "\ufb1d, ", "H\u0331.\n", "\u017f's", "'5", "5's", "3.14,", "<\u0338", "a.\u0338", "\u0416.", "\u03a3. ", "\u00d7.", "\x01", "a\x01.", "\t", "$$$ ", "x@y.com", "\ud55c.", ".\u0301 "]
+    every = [*odd, *texts(5, 30, PARTS + SPECIAL[-3:] + odd)]
+    for i in range(0, len(every), 50):
+        assert words.encode(every[i : i + 50]) == words.encode_whole(every[i : i + 50])
+
+
+def test_new_words_go_to_the_library_together():
+    words = packing.WordTokens("word_bpe_49k.json")
+    rnd = random.Random(7)
+    x = " ".join("".join(rnd.choice("abc\u00e9!7") for _ in range(9)) for _ in range(5_000))
+    want, given = words.encode_whole([x]), []
+    library = words.encode_whole
+    words.encode_whole = lambda texts: given.extend(texts) or library(texts)
+    assert words.encode([x]) == want
+    assert len(given) <= 4
+
+
+def test_slices_of_arrow_columns_and_small_gathers(monkeypatch):
+    words = packing.WordTokens("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "GATHERED", 3)
+    rows = ["first", None, "", "one two  three.\n", "<|ENDOFTEXT|> x", "\u00c9t\u00e9, 12 a", "last"]
+    for kind in (pa.string(), pa.large_string()):
+        part = pa.array(rows, kind).slice(1, 5)
+        assert words.encode_array(part) == words.encode_whole([x or "" for x in rows[1:6]])
+
+
 ROWS = [(1, None), (2, ""), (3, "Hello <|endoftext|> World"), (4, "same"), (4, "same"), (None, "no identifier"), (5, "very long text. " * 9000 + "<|endoftext|>" + "ü " * 40_000), (5, "very long text. " * 9000 + "<|endoftext|>" + "ü " * 40_000)]
 
 
