@@ -57,6 +57,7 @@ class WordCache:
             raise ValueError(f"{name}: added tokens that take in their surroundings are not supported")
         #: Special tokens, longest first, and their identifiers.
         self.special = {t.content: i for i, t in sorted(added.items(), key=lambda x: -len(x[1].content))}
+        self.remembered = REMEMBERED
         self.forget()
 
     def forget(self) -> None:
@@ -100,7 +101,7 @@ class WordCache:
             known.update(zip(part, self.encode_new(part)))
 
     def _age(self) -> None:
-        if len(known := self.known) > REMEMBERED:  # words of the last generation are kept until this one is full
+        if len(known := self.known) > self.remembered:  # words of the last generation are kept until this one is full
             self.earlier = {w: x for w, x in known.items() if len(w) <= LONGEST}
             self.known = {"": b""}
 

@@ -33,7 +33,9 @@ END_ID = 2
 #: A part of its own for the library, of one token; words that hold it are encoded alone.
 SEPARATOR = "\x01"
 #: Words whose ids are put together at a time.
-GATHERED = 500_000
+GATHERED = 100_000
+#: Words of a generation and bytes of text at a time where a worker lets go of its words.
+FEW_WORDS, FEW_BYTES = 60_000, 1_000_000
 #: Kinds of bytes; other ones are 0.
 BLANK, DIGIT, LETTER, MARK = 1, 2, 3, 4
 
@@ -261,8 +263,9 @@ def pack_documents(
     ids are little-endian unsigned 32-bit integers. `capacity` is a power of two. Null text is empty text:
     one piece of the end token; null or repeated identifiers are kept, each row is a document of its own;
     documents of equal size stand in the order of the input; an empty table gives no rows. Other columns are
-    neither read nor returned. Without `keep_words` a Python worker lets go of the words it remembers when a
-    task ends: some are encoded again, but workers that other operators fill as well stay smaller.
+    neither read nor returned. Without `keep_words` a Python worker remembers fewer words, lets go of them when
+    a task ends and takes less text at a time: some are encoded again, but workers that other operators fill as well
+    stay smaller.
     """
     _common.shipped(docs.sparkSession)
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -271,6 +274,7 @@ def pack_documents(
     @_common.tidy
     def run(batches):
         words = bpe.loaded(WordTokens, tokenizer)
+        words.remembered, most = (bpe.REMEMBERED, _common.PART_BYTES) if keep_words else (FEW_WORDS, FEW_BYTES)
         packer = Packer(capacity, buffer_tokens, TaskContext.get().partitionId() << 33)
         end = END_ID.to_bytes(4, "little")
         kinds = None
@@ -281,7 +285,7 @@ def pack_documents(
 
         for batch in batches:
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            for i, texts in _common.array_parts(batch, 1):
+            for i, texts in _common.array_parts(batch, 1, most):
                 ids = batch.column(0).slice(i, len(texts)).to_pylist()
                 for identifier, x in zip(ids, words.encode_array(texts)):
                     packer.add(identifier, x + end)

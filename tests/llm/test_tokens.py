@@ -77,6 +77,14 @@ def test_slices_of_arrow_columns_and_small_gathers(monkeypatch):
         assert words.encode_array(part) == words.encode_whole([x or "" for x in rows[1:6]])
 
 
+def test_few_remembered_words():
+    words = packing.WordTokens("word_bpe_49k.json")
+    words.remembered = 50
+    for x in texts(8, 40)[:200]:
+        assert words.encode([x]) == words.encode_whole([x])
+        assert len(words.known) <= 51 and len(words.earlier) <= 150
+
+
 ROWS = [(1, None), (2, ""), (3, "Hello <|endoftext|> World"), (4, "same"), (4, "same"), (None, "no identifier"), (5, "very long text. " * 9000 + "<|endoftext|>" + "ü " * 40_000), (5, "very long text. " * 9000 + "<|endoftext|>" + "ü " * 40_000)]
 
 
