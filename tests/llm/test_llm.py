@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,56 @@ def test_lm_scores_hold_every_pair_in_slices(spark):
     assert np.mean(off) < 0.03
 
 
+def test_lm_texts_are_read_once_however_large_the_filter(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 400)}" for _ in range(30))) for i in range(200)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    assert len(lm_score.score_texts(table, filter_bytes=3000, slice_words=150).collect()) == 200
+    assert seen.value == 200
+
+
+def test_lm_split_equals_tokens():
+    texts = [None, "", " ", "\t\n", "A b", " a\x0b\x0cB\r\n", "\x1cé\x85 Ü\u2003x\xa0", "\x00 \x00"]
+    words, sizes = lm_score.split(pa.array(texts, pa.string()))
+    want = [lm_score.tokens(x) for x in texts]
+    assert [x.encode() for x in words.to_pylist()] == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
+def test_lm_slices_keep_keys_and_numbers():
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 7, 5000):
+        x = rnd.integers(0, 1 << 40, n) >> rnd.integers(0, 41, n)
+        data, cuts = lm_score.coded(x)
+        got, at = lm_score.decoded(data, cuts[[0, n // 2, n]])
+        assert got.tolist() == x.tolist() and at.tolist() == [0, n // 2, n]
+        keys = np.unique(rnd.integers(-(2**63), 2**63 - 1, n))
+        keys = np.unique(np.concatenate([keys, keys[: n // 2] + 1, [-(2**63), 2**63 - 1][:n]])).astype(np.int64)
+        of = np.concatenate([[0], np.searchsorted(keys, lm_score._EDGES), [len(keys)]])
+        bucket = np.arange(lm_score.BUCKETS)
+        steps, of_bytes = lm_score.narrowed(keys, of, bucket)
+        assert lm_score.widened(steps, of_bytes, of, bucket).tolist() == keys.tolist()
+        mixed = rnd.permutation(np.concatenate([keys, keys[: n // 3]]))
+        assert mixed[lm_score.order_of(mixed)].tolist() == sorted(mixed.tolist())
+
+
+def test_lm_tells_when_words_share_a_hash():
+    names = {"range": pa.array([3, 3], pa.int32()), "slice": pa.array([0, 1]), "held": pa.array([False, True])}
+    of = lambda a, b: pa.array([a, b], pa.binary())
+    to = pa.schema([("slice", pa.int64()), ("rank", pa.int32()), *((n, pa.binary()) for n, _ in lm_score._ANSWERS), ("total", pa.int64()), ("distinct", pa.int64()), ("clash", pa.bool_())])
+    for words, clash in ((of(b"a\n", b"a\n"), False), (of(b"a\n", b"b\n"), True)):
+        rows = pa.table(names | {"word": words, "word_n": of(b"\x02", b"\x01"), "pair_key": of(b"", b""), "pair_n": of(b"", b"")})
+        answers, totals = lm_score._answered(rows, lambda w: 5, lm_score.FILTER_BYTES, to)
+        assert totals.to_pylist()[0]["clash"] == clash and totals.to_pylist()[0]["total"] == 2
+        assert answers.column(answers.schema.get_field_index("counts")).to_pylist() == [b"\x02", b"\x02"]
+
+
 def test_secrets_link_weak_parts():
     text = 'password = "hunter22" at https://host/x for user_id=someone'
     kinds = [secret_scan.KINDS[k] for _, _, k in secret_scan.spans(text)]
